@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, tokenfile
+from . import chat, exact_dedup, jaccard_join, licenses, mixing, packing, quality, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -23,6 +27,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_classes(_table(spark, sf_dir, "documents"))
+
+
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = chat.chat_windows(chat.probe(_table(spark, sf_dir, "conversations")))
+    return chat.digests(chat.read_windows(windows))
+
+
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -38,11 +51,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op4_quality_rules, op7_pack_sequences, op8_exact_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op4_quality_rules, op5_jaccard_join, op6_chat_windows, op7_pack_sequences, op8_exact_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": licenses.ORACLE,
+        "op5_jaccard_join": jaccard_join.ORACLE,
+        "op6_chat_windows": chat.ORACLE,
         "op8_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
