@@ -126,9 +126,9 @@ def _oracle() -> str:
     m AS (SELECT doc_id, b.words, short, label, len(list_intersect(list_distinct(b.words), t.words)) AS shared, len(t.words) AS n FROM b JOIN t ON short = (len(t.words) <= {LINE_WORDS})
           WHERE {THRESHOLD.denominator} * len(list_intersect(list_distinct(b.words), t.words)) >= {THRESHOLD.numerator} * len(t.words)),
     best AS (SELECT * FROM m QUALIFY shared = max(shared) OVER (PARTITION BY doc_id, words, short)),
-    x AS (SELECT doc_id, phrase, label, unnest(list_filter(range(1, len(words) + 1), lambda i: words[i : i + len(string_split(phrase, ' ')) - 1] = string_split(phrase, ' '))) - 1 AS at FROM w, p
+    x AS (SELECT doc_id, phrase, label, unnest(list_filter(range(1, len(words) + 1), lambda i: words[i : i + len(string_split(phrase, ' ')) - 1] = string_split(phrase, ' '))) - 1 AS place FROM w, p
           WHERE list_contains(words, string_split(phrase, ' ')[1])),
-    xs AS (SELECT doc_id, count(*) AS n, min(at) AS first_word, max(at) AS last_word, list(DISTINCT label) AS labels FROM x GROUP BY doc_id),
+    xs AS (SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM x GROUP BY doc_id),
     ms AS (SELECT doc_id, list(DISTINCT label) AS labels, max(shared / n) AS part FROM best GROUP BY doc_id)
     SELECT w.doc_id, len(w.words) AS n_words, coalesce(xs.n, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(xs.labels), ','), '') AS base_labels,
         coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(xs.labels, []), coalesce(ms.labels, [])))), ','), '') AS labels,
