@@ -59,7 +59,8 @@ def status(question: Column) -> Column:
 
 def salvage(raw: Column, schema: str) -> Column:
     """JSON from text: as it is, else from the first brace to the last."""
-    return F.coalesce(F.from_json(raw, schema), F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), schema))
+    inner = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
+    return F.from_json(F.when(F.get_json_object(raw, "$").isNotNull(), raw).otherwise(inner), schema)
 
 
 def retry_after(message: Column, attempt: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 2048):
             part = batch.slice(lo, 2048)
-            known = part.filter(pa.compute.is_valid(part["vec"]))
+            known = part.filter(pc.is_valid(part["vec"]))
             if known.num_rows:
                 values = known["vec"].flatten().to_numpy(zero_copy_only=False).astype("<f8")
                 yield pa.RecordBatch.from_arrays([pa.array([known["id"].to_numpy().astype("<i8").tobytes()]), pa.array([values.tobytes()])], ["ids", "vecs"])
