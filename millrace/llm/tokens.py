@@ -1,12 +1,17 @@
 """Token ids of texts, with the tokenizers library and a public vocabulary file.
 
 The vocabulary drops white space and never joins what white space parts, so a text's ids are those of its runs of other
-characters, one after the other. Workers keep the ids of runs they have seen; the library encodes every other run.
+characters, one after the other. Workers keep the ids of runs they have seen. A new run of Latin letters and then ASCII
+punctuation is what the library's own splitting makes two words of; the letters of all such runs are given to it as one
+text, word by word, in lower case as it would have them. Every other run is given to it alone.
 """
 
 from __future__ import annotations
 
-import zlib
+import functools
+import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,42 +23,78 @@ from . import textscan as T
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END = 2
-#: Runs whose ids a worker keeps; it forgets them all beyond that.
-KEPT_RUNS = 400_000
+#: Runs whose ids a worker keeps as recently used, and as many that were used before; older ones are forgotten.
+KEPT_RUNS = 300_000
+#: Runs given to the library at a time, and bytes of text in a slice.
+LEARNT, SLICE = 2_000, 1 << 18
+
+
+#: Letters that have one code point and one lower case, then punctuation that is part of no contraction or special token.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])*)([!-&(-/:;=?@\[-`{}~]*)")
 
 
 class Encoder:
-    """Ids as bytes of little-endian unsigned 32-bit integers."""
+    """Ids as bytes of unsigned 32-bit integers in the machine's order, which is little-endian wherever Spark runs."""
 
     def __init__(self, path: str = VOCABULARY):
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer, self.known, self.older, self.words = Tokenizer.from_file(path), {b"": b""}, {}, {}
+
+    def _alone(self, run: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(run.decode(), add_special_tokens=False).ids).tobytes()
+
+    def _learn_words(self, words: list[str]) -> None:
+        for lo in range(0, len(words), LEARNT):
+            part = words[lo : lo + LEARNT]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, at = np.asarray(found.ids, np.uint32), np.asarray(found.word_ids)
+            ends = np.searchsorted(at, np.arange(1, len(part) + 1))
+            start = 0
+            for word, end in zip(part, ends.tolist()):
+                self.words[word] = ids[start:end].tobytes()
+                start = end
 
-    def learn(self, runs: list[bytes]) -> None:
-        if len(self.known) + len(runs) > KEPT_RUNS:
-            self.known = {}
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in runs], add_special_tokens=False)
-        self.known.update((x, np.asarray(e.ids, "<u4").tobytes()) for x, e in zip(runs, found))
+    def learn(self, runs: set[bytes]) -> None:
+        """Make known all of these runs."""
+        if len(self.known) > KEPT_RUNS:
+            self.known, self.older = {b"": b""}, self.known
+        if len(self.words) > KEPT_RUNS:
+            self.words = {}
+        parts, new = [], set()
+        for run in runs.difference(self.known):
+            if run in self.older:
+                self.known[run] = self.older[run]
+            elif m := PLAIN.fullmatch(run):
+                word = m[1].decode().lower()
+                parts.append((run, word, m[2]))
+                if word and word not in self.words:
+                    new.add(word)
+            else:
+                self.known[run] = self._alone(run)
+        self._learn_words(list(new))
+        for run, word, mark in parts:
+            if mark and mark not in self.known:
+                self.known[mark] = self._alone(mark)
+            self.known[run] = (self.words[word] if word else b"") + self.known[mark]
 
     def encode(self, texts: list[bytes], end: int | None = END) -> list[bytes]:
         """The ids of each text, and `end` after them."""
         # Bytes split at 0x20 and 0x09-0x0D, and at no byte of a longer UTF-8 sequence.
         split = [x.split() for x in texts]
-        new = set().union(*split).difference(self.known)
-        if new:
-            self.learn(list(new))
-            if missing := set().union(*split).difference(self.known):
-                self.known.update((x, np.asarray(self.tokenizer.encode(x.decode(), add_special_tokens=False).ids, "<u4").tobytes()) for x in missing)
-        last = b"" if end is None else np.asarray([end], "<u4").tobytes()
+        self.learn(set().union(*split))
+        last = b"" if end is None else array("I", [end]).tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, runs)) + last for runs in split]
 
 
+@functools.lru_cache(1)
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this worker process; tasks that run in it one after the other share what it knows."""
+    return Encoder(path)
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str = VOCABULARY, end: int | None = END) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches and the ids of their texts; a null text is empty."""
-    encoder = Encoder(path)
-    for part in T.slices(batches, "text", 1 << 20):
+    encoder = worker_encoder(path)
+    for part in T.slices(batches, "text", SLICE):
         yield part, encoder.encode([x or b"" for x in part["text"].cast(pa.binary()).to_pylist()], end)
-
-
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
