@@ -230,8 +230,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs but those whose class has a smaller doc_id."""
-    dropped = near_classes(docs, similarity).where("doc_id <> class_id").select(F.xxhash64("doc_id").alias("_hash"), F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dropped.select("_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    dropped = near_classes(docs, similarity).where("doc_id <> class_id").select(F.col("doc_id").alias("dropped")).distinct()
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))
+    return rows.join(dropped, F.col("id") == F.col("dropped"), "left_anti").select("row.*")
 
 
 ORACLE = r"""

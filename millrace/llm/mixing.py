@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -43,12 +43,13 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
         left -= sum(cap[s] for s in full)
         free = [s for s in free if s not in out]
     return out
+    return out
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, span: int = SPAN) -> np.ndarray:
-    """How many documents of each length to take so that their words are as near to budget as found; the sum never exceeds it by more than half the shortest length left."""
+    """How many documents of each length to take so that their words are as near to budget as can be; beyond `span` words, as near as the knapsack over the last of them can make it."""
     total = int((lengths * counts).sum())
-    share = min(1.0, budget / total) if total else 0.0
+    share = min(1.0, budget / total) if total and budget > span else 0.0
     take = np.minimum(np.floor(counts * share).astype(np.int64), counts)
     rest = budget - int((take * lengths).sum())
     for k in np.argsort(-lengths, kind="stable").tolist():  # longest first, until the knapsack can do it
@@ -60,7 +61,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, span: int = SPAN)
     if rest <= 0:
         return take
     # Bounded knapsack: bit w of `reach` says that w words can be made; counts are split into powers of two.
-    top = rest + int(lengths[lengths > 0].min(initial=0))
+    top = rest + int(lengths.max(initial=0))
     mask, reach, steps = (1 << (top + 1)) - 1, 1, []
     for k in np.argsort(-lengths, kind="stable").tolist():
         length = int(lengths[k])
@@ -83,13 +84,13 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, span: int = SPAN)
     return take
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken for every row of docs (doc_id, text, source).
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED, *also: Column) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken, and the columns `also`, for every row of docs (doc_id, text, source).
 
     The driver holds one row for each source, none for each document.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    base = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h"))
+    base = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.struct(F.lit(0), *also).alias("also"))
     base = base.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     return _mix(base, weights)
 
@@ -121,15 +122,24 @@ def _mix(base: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     cuts = ranges.withColumn("below", below).groupBy("key", "size").agg(F.max(F.when(inside, F.col("part"))).alias("last"), F.max(F.when(across, F.col("part"))).alias("at"), F.max(F.when(across, F.col("more") - F.col("below"))).alias("left"))
     rows = rows.join(cuts, ["key", "size"], "left")
     taken = ((F.col("epochs") + F.col("extra")) * F.col("size")).alias("taken")
-    out = ["doc_id", "source", "size", "source_size", "target", taken]
+    out = ["doc_id", "source", "size", "source_size", "target", taken, "also"]
     ranked = rows.where("part = at").withColumn("rank", F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("h", "doc_id")))
     ranked = ranked.withColumn("extra", F.expr("if(rank <= left, 1L, 0L)"))
     others = rows.where("at is null or part <> at").withColumn("extra", F.expr("case when more = n then 1L when more = 0 then 0L when part <= coalesce(last, -1) then 1L else 0L end"))
-    return ranked.select(*out).unionByName(others.select(*out))
+    return ranked.select(*out).unionByName(others.select(*out)).select("*", "also.*").drop("also", "col1")
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """The rows of docs that the mix takes, with all their columns; a document taken several times stands there as often."""
-    taken = mix(docs, weights, seed).where("taken > 0").select(F.col("doc_id").alias("mix_id"), F.expr("taken div size").alias("times")).distinct()
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    return rows.select(*[rows[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_copy")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that the mix takes, with all their columns; a document taken several times stands there as often.
+
+    Rows with equal id, source and text are taken together; where their other columns differ, one of them stands for all.
+    """
+    key = ["id", "source", "text_hash"]
+    taken = mix(docs, weights, seed, F.xxhash64("text").alias("text_hash")).groupBy(F.col("doc_id").alias("id"), "source", "text_hash").agg(F.sum(F.expr("try_divide(taken, size)").cast("long")).alias("times"), F.count("*").alias("rows"))
+    taken = shared.written(taken.where("times > 0").select(*[F.col(k).alias(f"t_{k}") for k in key], "times", "rows"), "taken")
+    rows = docs.select(F.col("doc_id").alias("id"), "source", F.xxhash64("text").alias("text_hash"), F.struct("*").alias("row"))
+    same = F.col("id").eqNullSafe(F.col("t_id")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col("text_hash") == F.col("t_text_hash"))
+    out = rows.join(taken.where("rows = 1"), same)
+    if not (several := taken.where("rows > 1")).isEmpty():
+        out = out.unionByName(rows.join(several, same).dropDuplicates(key))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy")).select("row.*")
