@@ -38,16 +38,22 @@ def coverage_rank(gold: DataFrame, retrieved: DataFrame, share: float = 0.8) ->
     return gold.select("id").join(met, "id", "left")
 
 
-def nearest_rank(rows: DataFrame, value: str, percents: tuple[int, ...], *keys: str) -> DataFrame:
+def nearest_rank(rows: DataFrame, value: str, percents: tuple[int, ...], *keys: str, cells: int = 1000) -> DataFrame:
     """Percentiles of a column by keys: the value at index round-half-even(p / 100 * (n - 1)), nulls left out.
 
-    A value's place comes from counts of distinct values, so equal values are one row before they are ordered.
+    Equal values are one row before they are ordered. Counts of `cells` equal ranges of a key's values tell which range a
+    percentile lies in, and only the values of that range are put in order, so a key that most rows have is no single
+    task's to sort.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("here"))
-    w = Window.partitionBy(*keys)
-    placed = counts.withColumns({"upto": F.sum("here").over(w.orderBy(value)), "n": F.sum("here").over(w)})
-    at = lambda p: F.rint(F.lit(p) / 100 * (F.col("n") - 1)) + 1
-    return placed.groupBy(*keys).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") >= at(p), F.col(value))).alias(f"p{p}") for p in percents])
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.struct(F.lit(0).alias("_"), *keys).alias("k"), F.col(value).alias("v")).agg(F.count("*").alias("here"))
+    span = counts.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("here").alias("n"))
+    placed = counts.join(span, "k").withColumn("cell", F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * cells), F.lit(0)))
+    before = F.coalesce(F.sum("inside").over(Window.partitionBy("k").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = placed.groupBy("k", "cell", "n").agg(F.sum("here").alias("inside")).withColumn("before", before)
+    wanted = sums.select("*", F.explode(F.array(*map(F.lit, percents))).alias("p")).withColumn("at", F.rint(F.col("p") / 100 * (F.col("n") - 1)) + 1).where("at > before and at <= before + inside")
+    upto = F.col("before") + F.sum("here").over(Window.partitionBy("k", "p").orderBy("v"))
+    found = placed.select("k", "cell", "v", "here").join(wanted, ["k", "cell"]).withColumn("upto", upto).where("upto >= at")
+    return found.groupBy("k").agg(F.max("n").alias("n"), *[F.min(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents]).select(*[f"k.{c}" for c in keys], "n", *[f"p{p}" for p in percents])
 
 
 def hash_order(key: Column, seed: int) -> Column:
@@ -61,6 +67,12 @@ def sample_each(rows: DataFrame, n: int, seed: int, key: str, *groups: str) -> D
     return rows.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= n)
 
 
+def last_each(rows: DataFrame, n: int, key: str, group: str) -> DataFrame:
+    """The n rows of each group with the largest key; `back` counts from 0 for the last."""
+    ranked = rows.withColumn("_back", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(key)))).where(F.col("_back") <= n)
+    return ranked.withColumn("back", F.col("_back") - 1).drop("_back")
+
+
 def round_robin(rows: DataFrame, n: int, seed: int, key: str, group: str) -> DataFrame:
     """n rows, one of each group in turn, groups in order of name; `pass` is the turn."""
     turns = sample_each(rows, n, seed, key, group).withColumnRenamed("pick", "pass")

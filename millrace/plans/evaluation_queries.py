@@ -216,6 +216,7 @@ def cache_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source, doc_id FROM (SELECT *, row_number() OVER (ORDER BY k DESC, source) AS r FROM n) WHERE r <= 30
 """)
 def trim_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thirty rows taken from whichever source is largest at the time, ties by name: by rank within the source, last first."""
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("source", "doc_id", rank.alias("k")).orderBy(F.desc("k"), "source").limit(30).select("source", "doc_id")
+    """Thirty rows taken from whichever source is largest at the time, ties by name: by rank within the source, last first. Only the last thirty of a source can be among them."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id")
+    last = E.last_each(docs, 30, "doc_id", "source").join(docs.groupBy("source").agg(F.count("*").alias("n")), "source")
+    return last.withColumn("k", F.col("n") - F.col("back")).orderBy(F.desc("k"), "source").limit(30).select("source", "doc_id")
