@@ -18,7 +18,8 @@ K1, B, RRF_K = 1.5, 0.75, 60
 def term_counts(docs: DataFrame, doc_id: str, words: Column) -> DataFrame:
     """(doc_id, term, tf, size): how often each term stands in each document, and the document's number of terms."""
     sized = docs.select(F.col(doc_id).alias("doc_id"), words.alias("words"))
-    each = sized.select("doc_id", F.size("words").alias("size"), F.explode("words").alias("term"))
+    # An inner explode would have Spark test the size of the words first, and find them once more for that.
+    each = sized.select("doc_id", F.size("words").alias("size"), F.explode_outer("words").alias("term")).where("term is not null")
     return each.groupBy("doc_id", "term", "size").agg(F.count("*").alias("tf"))
 
 
@@ -28,7 +29,8 @@ def corpus_stats(docs: DataFrame, words: Column) -> DataFrame:
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:
-    return terms.groupBy("term").agg(F.count("*").alias("df"))
+    """Reads tf as well, so that where terms are joined with their frequency both sides read one shuffle."""
+    return terms.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -47,7 +49,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, stemmed: bool = True) -> D
     Only postings of query terms are shuffled; the term table is narrowed before it meets the queries.
     """
     words = T.tokens(F.col("text"), stemmed)
-    asked = queries.select("query_id", F.explode(F.array_distinct(words)).alias("term"))
+    asked = queries.select("query_id", F.explode_outer(F.array_distinct(words)).alias("term")).where("term is not null")
     wanted = asked.select("term").distinct()
     postings = term_counts(docs, "doc_id", words).join(wanted, "term", "left_semi")
     weights = document_frequency(postings).crossJoin(F.broadcast(corpus_stats(docs, words)))
@@ -62,7 +64,7 @@ def overlap(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, doc_id, score): the k documents that hold most of a query's distinct tokens, as a share; ties by doc_id."""
     words = F.array_distinct(T.tokens(F.col("text"), False))
     asked = queries.select("query_id", F.size(words).alias("n"), F.explode(words).alias("term"))
-    held = docs.select("doc_id", F.explode(words).alias("term"))
+    held = docs.select("doc_id", F.explode_outer(words).alias("term")).where("term is not null")
     scored = held.join(F.broadcast(asked), "term").groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("hits"))
     scored = scored.withColumn("score", F.round(F.col("hits") / F.col("n"), 6))
     return top(scored, k, F.desc("score"), "doc_id").select("query_id", "rank", "doc_id", "score")
