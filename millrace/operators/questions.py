@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import guards as G
 from ..functions import text as T
@@ -119,7 +120,7 @@ def merge_wrapped(lines: Column) -> Column:
     return F.aggregate(lines, start, step, lambda a: F.when(a["empty"], a["done"]).otherwise(F.array_append(a["done"], a["last"])))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff and Obershelp's similarity; null without a twin."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
