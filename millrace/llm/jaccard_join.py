@@ -3,7 +3,7 @@
 A text is the set of its shingles of WIDTH words; a text of fewer words is one shingle. Texts with equal sets are one
 node. A node's set is embedded as COORDINATES minhash values, which agree between two nodes with a probability equal to
 their similarity. A run splits all nodes by the value of one sampled coordinate; a bucket of more than LEAF nodes is
-split again by coordinates sampled from its path, up to DEPTH times, and one that is still larger is compared in pairs
+split again by a coordinate sampled from its path, up to DEPTH times, and one that is still larger is compared in pairs
 of blocks, so none is given up. Buckets are compared by brute force on all coordinates. Runs are repeated as often as
 the target recall asks for.
 
@@ -31,10 +31,10 @@ from . import textscan as T
 from .components import components
 
 WIDTH, SIMILARITY = 5, 0.8
-COORDINATES, LEAF, DEPTH, BLOCK = 64, 1200, 6, 400
+COORDINATES, LEAF, DEPTH, BLOCK = 64, 2000, 6, 400
 RECALL = 0.9999
-#: A run finds a pair at the threshold with this probability at least: the split agrees with probability 0.8, and later splits cost the rest.
-RUN_FINDS = 0.45
+#: A run finds a pair at the threshold with this probability: 0.8 for its first split and for each of up to three more.
+RUN_FINDS = 0.4
 #: Share of equal coordinates from which two nodes are clustered; four standard deviations below the threshold.
 NEAR = 0.6
 BITS = 1 << 22
@@ -172,7 +172,7 @@ def _buckets(nodes: DataFrame, runs: int) -> DataFrame:
         if large.isEmpty():
             break
         if depth < DEPTH:
-            at = F.explode(F.array(*[F.pmod(F.xxhash64("path", F.lit(k)), F.lit(COORDINATES)).cast("int") for k in range(2)])).alias("at")
+            at = F.pmod(F.xxhash64("path", F.lit(depth)), F.lit(COORDINATES)).cast("int").alias("at")
             split = large.join(nodes.select("node", "sketch"), "node").select("path", "node", "sketch", at)
             rows = shared.written(split.select(F.xxhash64("path", "at", value).alias("path"), "node").distinct(), "paths")
         else:
