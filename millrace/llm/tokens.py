@@ -24,7 +24,7 @@ from . import textscan as T
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END = 2
 #: Runs whose ids a worker keeps as recently used, and as many that were used before; older ones are forgotten.
-KEPT_RUNS = 300_000
+KEPT_RUNS = 500_000
 #: Runs given to the library at a time, and bytes of text in a slice.
 LEARNT, SLICE = 2_000, 1 << 18
 
