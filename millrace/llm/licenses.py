@@ -35,6 +35,13 @@ TEMPLATES = [
     ("cc-by-nc", "this work is licensed under the creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-sa", "this work is licensed under the creative commons attribution sharealike 4 0 international license"),
 ]
+#: One-line notices of licenses that TEMPLATES know by a long text only. The SQL has TEMPLATES alone.
+NOTICES = [
+    ("gpl-3", "under the gnu general public license version 3"),
+    ("bsd", "under the bsd license"),
+    ("mpl-2", "under the mozilla public license version 2"),
+    ("isc", "under the isc license"),
+]
 THRESHOLD = Fraction(9, 10)
 LINE_WORDS, BLOCK = 16, 200
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -56,7 +63,7 @@ def frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
     return {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: Fraction = THRESHOLD) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + NOTICES, threshold: Fraction = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for every row of docs (doc_id, text)."""
     vocabulary = sorted({w for _, t in templates for w in t.split()})
     count = frequencies(docs, vocabulary)

@@ -101,6 +101,13 @@ def test_license_filters_lose_no_template(spark):
         assert want <= set(got[k].labels.split(",")), text
 
 
+def test_license_scan_finds_short_notices(spark):
+    notices = {"This work is licensed under the GNU General Public License, version 3.": "gpl-3", "Released under the BSD 3-Clause License.": "bsd", "Licensed under the Mozilla Public License, version 2.0.": "mpl-2", "Distributed under the ISC license.": "isc", "Licensed under the GNU General Public License, version 2.": ""}
+    rows = [(k, f"some text\n{line}\nmore text") for k, line in enumerate(notices)]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(rows))] == list(notices.values())
+
+
 # ---- 2 mixing
 
 
