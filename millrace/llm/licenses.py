@@ -4,8 +4,9 @@ A template is a set of words; a block meets it if it holds at least THRESHOLD of
 of documents of the whole corpus that hold them, rarest first. A block that meets a template of n words must share a = ceil(THRESHOLD n) of
 them, hence one of the template's first n - a + 1 (prefix filter), hold a of the words of all templates itself (length
 filter), and have enough words left after a shared one in both orders (positional filter). What passes is compared in
-full. Blocks are the lines of a text for templates of up to LINE_WORDS words, and windows of BLOCK words at steps of
-half that for longer ones, which any passage of BLOCK / 2 words lies in. Of the templates that a block meets, those
+full. Blocks are windows of BLOCK words at steps of half that, which any passage of BLOCK / 2 words lies in. For
+templates of up to LINE_WORDS words they are the lines of a text and, as notices are wrapped, windows of twice the
+template's length at steps of its length, whatever line ends they hold. Of the templates that a block meets, those
 that share most words with it give labels.
 
 Base phrases are found at all places of their words. Null texts are empty. Rows don't depend on each other, so repeated
@@ -72,12 +73,15 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     needed = [ceil(threshold * len(s)) for _, s in sets]
     prefixes = [s[: len(s) - a + 1] for (_, s), a in zip(sets, needed)]
 
-    def met(tokens: Column, short: bool) -> Column:
-        """(shared, label, part) of the templates that a block with these words, in global order, meets; null for others."""
+    short = [k for k, (_, s) in enumerate(sets) if len(s) <= LINE_WORDS]
+    long = [k for k in range(len(sets)) if k not in short]
+    of_length = {n: [k for k in short if len(templates[k][1].split()) == n] for n in sorted({len(templates[k][1].split()) for k in short})}
+
+    def met(tokens: Column, chosen: list[int]) -> Column:
+        """(shared, label, part) of the chosen templates that a block with these words, in global order, meets."""
         tests = []
-        for (label, s), a, prefix in zip(sets, needed, prefixes):
-            if (len(s) <= LINE_WORDS) != short:
-                continue
+        for k in chosen:
+            (label, s), a, prefix = sets[k], needed[k], prefixes[k]
             # The k-th word of the template at place p of the block: at most 1 + min(n - k, |block| - p) are shared.
             places = [(len(s) - k, F.array_position(tokens, F.lit(w))) for k, w in enumerate(prefix, 1)]
             close = F.lit(False)
@@ -91,18 +95,23 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
         most = F.array_max(F.transform(found, lambda t: t["shared"]))
         return F.filter(found, lambda t: t["shared"] == most)
 
-    def labels(blocks: Column, short: bool) -> Column:
-        return F.flatten(F.transform(blocks, lambda b: best(met(F.array_intersect(_strings(order), b), short))))
+    def labels(blocks: Column, chosen: list[int]) -> Column:
+        some = F.filter(blocks, lambda b: F.arrays_overlap(b, _strings(sorted({w for k in chosen for w in prefixes[k]}))))
+        ordered = F.transform(some, lambda b: F.array_intersect(_strings(order), b))
+        return F.flatten(F.transform(F.transform(ordered, lambda t: met(t, chosen)), best))
+
+    def windows(length: int) -> Column:
+        """Windows of this many words at steps of half that; the last one is shorter."""
+        step = length // 2
+        return F.transform(F.sequence(F.lit(1), F.greatest(size - step, F.lit(1)), F.lit(step)), lambda k: F.slice("words", k, length))
 
     candidates = sorted({w for p in prefixes for w in p})
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("words", _words(F.col("text")))
-    lines = F.filter(F.transform(F.split("text", "\n"), _words), lambda w: F.arrays_overlap(w, _strings(candidates)))
+    lines = F.transform(F.split("text", "\n"), _words)
     size = F.size("words")
-    starts = F.when(size <= BLOCK, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.greatest(size - BLOCK // 2, F.lit(1)), F.lit(BLOCK // 2)))
-    windows = F.transform(starts, lambda k: F.slice("words", k, BLOCK))
     none = F.array().cast("array<struct<shared:int,label:string,part:double>>")
-    found = F.when(F.arrays_overlap("words", _strings(candidates)), F.concat(labels(lines, True), labels(windows, False))).otherwise(none)
+    found = F.when(F.arrays_overlap("words", _strings(candidates)), F.concat(labels(lines, short), *[labels(windows(2 * n), chosen) for n, chosen in of_length.items()], labels(windows(BLOCK), long))).otherwise(none)
 
     phrase = {p: rf"(?i)(?<!{ANY_CASE}){APART.join(p.split())}(?!{ANY_CASE})" for p in BASE}
     every = "(?i)(?<!{0})(?:{1})(?!{0})".format(ANY_CASE, "|".join(APART.join(p.split()) for p in BASE))

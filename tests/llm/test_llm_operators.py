@@ -108,6 +108,19 @@ def test_license_scan_finds_short_notices(spark):
     assert [got[k] for k in range(len(rows))] == list(notices.values())
 
 
+def test_license_scan_finds_wrapped_notices(spark):
+    r, rows, want = random.Random(8), [], []
+    for k in range(60):
+        label, t = r.choice([x for x in licenses.TEMPLATES + licenses.NOTICES if len(set(x[1].split())) <= licenses.LINE_WORDS])
+        w = ["filler"] * r.randint(0, 40) + t.split() + ["filler"] * r.randint(0, 40)
+        width = r.randint(1, 6)
+        rows.append((k, "\n".join(" ".join(w[i : i + width]) for i in range(0, len(w), width))))
+        want.append(label)
+    rows.append((60, "This work is licensed under the Creative Commons\nAttribution-ShareAlike 4.0 International License."))
+    got = {x.doc_id: x.labels.split(",") for x in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[k] for k, label in enumerate(want)) and got[60] == ["cc-by-sa"]
+
+
 # ---- 2 mixing
 
 
