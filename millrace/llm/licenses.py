@@ -6,8 +6,9 @@ them, hence one of the template's first n - a + 1 (prefix filter), hold a of the
 filter), and have enough words left after a shared one in both orders (positional filter). What passes is compared in
 full. Blocks are windows of BLOCK words at steps of half that, which any passage of BLOCK / 2 words lies in. For
 templates of up to LINE_WORDS words they are the lines of a text and, as notices are wrapped, windows of twice the
-template's length at steps of its length, whatever line ends they hold. Of the templates that a block meets, those
-that share most words with it give labels.
+template's length at steps of its length, whatever line ends they hold. All templates that a block
+meets give labels, but one whose words are nearly those of another (Jaccard similarity ALIKE) gives way to that where
+the block holds a larger part of the other.
 
 Base phrases are found at all places of their words. Null texts are empty. Rows don't depend on each other, so repeated
 rows and ids, ties and other columns play no part.
@@ -44,6 +45,7 @@ NOTICES = [
     ("isc", "under the isc license"),
 ]
 THRESHOLD = Fraction(9, 10)
+ALIKE = Fraction(8, 10)
 LINE_WORDS, BLOCK = 16, 200
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same runs before A-Z are lower-cased, and what parts them.
@@ -77,23 +79,25 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     long = [k for k in range(len(sets)) if k not in short]
     of_length = {n: [k for k in short if len(templates[k][1].split()) == n] for n in sorted({len(templates[k][1].split()) for k in short})}
 
+    near = [[j for j, (_, u) in enumerate(sets) if len(set(s) & set(u)) >= ALIKE * len(set(s) | set(u))] for _, s in sets]
+    alike = F.array(*[F.array(*map(F.lit, js)) for js in near])
+
     def met(tokens: Column, chosen: list[int]) -> Column:
-        """(shared, label, part) of the chosen templates that a block with these words, in global order, meets."""
+        """(k, label, part) of the chosen templates that a block with these words, in global order, meets."""
         tests = []
         for k in chosen:
             (label, s), a, prefix = sets[k], needed[k], prefixes[k]
-            # The k-th word of the template at place p of the block: at most 1 + min(n - k, |block| - p) are shared.
-            places = [(len(s) - k, F.array_position(tokens, F.lit(w))) for k, w in enumerate(prefix, 1)]
+            # The j-th word of the template at place p of the block: at most 1 + min(n - j, |block| - p) are shared.
+            places = [(len(s) - j, F.array_position(tokens, F.lit(w))) for j, w in enumerate(prefix, 1)]
             close = F.lit(False)
             for left, p in places:
                 close = close | ((p > 0) & (F.least(F.lit(left), F.size(tokens) - p) + 1 >= a))
             shared = F.size(F.array_intersect(tokens, _strings(s)))
-            tests.append(F.when((F.size(tokens) >= a) & close & (shared >= a), F.struct(shared.alias("shared"), F.lit(label).alias("label"), (shared / float(len(s))).alias("part"))))
+            tests.append(F.when((F.size(tokens) >= a) & close & (shared >= a), F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), (shared / float(len(s))).alias("part"))))
         return F.filter(F.array(*tests), lambda t: t.isNotNull())
 
     def best(found: Column) -> Column:
-        most = F.array_max(F.transform(found, lambda t: t["shared"]))
-        return F.filter(found, lambda t: t["shared"] == most)
+        return F.filter(found, lambda t: ~F.exists(found, lambda o: F.array_contains(F.element_at(alike, t["k"] + 1), o["k"]) & (o["part"] > t["part"])))
 
     def labels(blocks: Column, chosen: list[int]) -> Column:
         some = F.filter(blocks, lambda b: F.arrays_overlap(b, _strings(sorted({w for k in chosen for w in prefixes[k]}))))
@@ -110,7 +114,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     rows = docs.select("doc_id", text.alias("text")).withColumn("words", _words(F.col("text")))
     lines = F.transform(F.split("text", "\n"), _words)
     size = F.size("words")
-    none = F.array().cast("array<struct<shared:int,label:string,part:double>>")
+    none = F.array().cast("array<struct<k:int,label:string,part:double>>")
     found = F.when(F.arrays_overlap("words", _strings(candidates)), F.concat(labels(lines, short), *[labels(windows(2 * n), chosen) for n, chosen in of_length.items()], labels(windows(BLOCK), long))).otherwise(none)
 
     phrase = {p: rf"(?i)(?<!{ANY_CASE}){APART.join(p.split())}(?!{ANY_CASE})" for p in BASE}

@@ -121,6 +121,14 @@ def test_license_scan_finds_wrapped_notices(spark):
     assert all(label in got[k] for k, label in enumerate(want)) and got[60] == ["cc-by-sa"]
 
 
+def test_license_scan_keeps_all_licenses_of_a_text(spark):
+    of = {label: t for label, t in licenses.TEMPLATES if len(set(t.split())) > licenses.LINE_WORDS}
+    cc = {label: t for label, t in licenses.TEMPLATES if "creative" in t}
+    rows = [(1, of["gpl-3"] + "\n" + of["mpl-2"]), (2, of["mit"] + "\n" + of["apache-2"]), (3, cc["cc-by-sa"]), (4, cc["cc-by-nc"]), (5, "released under the mit license or under the isc license")]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "gpl-3,mpl-2", 2: "apache-2,mit", 3: "cc-by-sa", 4: "cc-by-nc", 5: "isc,mit"}
+
+
 # ---- 2 mixing
 
 
