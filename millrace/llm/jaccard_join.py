@@ -199,6 +199,13 @@ def only_hashed(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return hit.where(f"(shiftright(bits, int(pmod({key}, {BITS}L) % 64)) & 1L) = 1").drop("word", "bits")
 
 
+def of_ids(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """text of the rows of docs whose doc_id is in known (one row an id), with known's columns. Only rows that a bitmap of the ids lets through are shuffled."""
+    key = F.xxhash64(F.col("doc_id").cast("long")).alias("id_hash")
+    rows = only_hashed(docs.select("doc_id", "text", key), "id_hash", known.select(key)).drop("id_hash")
+    return rows.join(known, "doc_id")
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), class_size and n_links (other rows at least so similar) for every row of docs (doc_id, text)."""
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")

@@ -181,6 +181,13 @@ def test_toxicity_on_held_out_rows(spark, docs):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
 
 
+def test_toxicity_counts_all_labelled_rows(spark):
+    table = spark.createDataFrame([(i, f"a{i} common b{i % 7} {'nitwit' if i % 2 else 'friend'} c{i}") for i in range(400)], "doc_id long, text string")
+    marks = table.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    few, all_ = toxicity.fit(table, marks, most=10), toxicity.fit(table, marks)
+    assert len(few.words) == len(all_.words) and np.array_equal(few.words, all_.words) and np.array_equal(few.ratios, all_.ratios) and few.other == all_.other
+
+
 # ---- 4 quality
 
 
