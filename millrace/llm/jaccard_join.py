@@ -203,7 +203,7 @@ def of_ids(docs: DataFrame, known: DataFrame) -> DataFrame:
     """text of the rows of docs whose doc_id is in known (one row an id), with known's columns. Only rows that a bitmap of the ids lets through are shuffled."""
     key = F.xxhash64(F.col("doc_id").cast("long")).alias("id_hash")
     rows = only_hashed(docs.select("doc_id", "text", key), "id_hash", known.select(key)).drop("id_hash")
-    return rows.join(known, "doc_id")
+    return rows.join(known.hint("shuffle_hash"), "doc_id")  # a hash join needs no sort of the texts
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:

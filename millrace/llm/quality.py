@@ -19,10 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as T
+from .jaccard_join import of_ids
 
 BUCKETS = 1 << 14
-#: Trusted documents at most, the first by hash of their id. Only this model of the target is bounded; raw counts cover all rows.
-TRUSTED_ROWS = 20_000
 #: Raw pseudo-counts for each bucket of the trusted model.
 PRIOR = 2.0
 #: Mean log ratio from which a text passes.
@@ -47,24 +46,20 @@ def _buckets(scan: T.Scan) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([runs.hash, pairs]) >> shift).astype(np.int64), np.concatenate([runs.row, runs.row[at]])
 
 
-def ngram_counts(docs: DataFrame, trusted: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Raw and trusted counts of all buckets, over all rows. The driver receives BUCKETS rows whatever the size of docs."""
-    ids = np.array(sorted(trusted), np.int64)
+def ngram_counts(docs: DataFrame) -> np.ndarray:
+    """Counts of all buckets over all rows. The driver receives BUCKETS rows whatever the size of docs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        found = np.zeros(BUCKETS, np.int64)
         for part in T.slices(batches, "text"):
-            bucket, row = _buckets(T.scan(part["text"]))
-            known = np.isin(np.asarray(part["doc_id"].fill_null(-(1 << 62))), ids)
-            raw += np.bincount(bucket, minlength=BUCKETS)
-            target += np.bincount(bucket[known[row]], minlength=BUCKETS)
-        seen = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(target[seen])], ["bucket", "raw", "target"])
+            found += np.bincount(_buckets(T.scan(part["text"]))[0], minlength=BUCKETS)
+        seen = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(found[seen])], ["bucket", "n"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
-    return raw, target
+    rows = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(BUCKETS)
+    counts[rows["bucket"]] = rows["n"]
+    return counts
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float = PRIOR) -> np.ndarray:
@@ -74,9 +69,9 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float = PRIOR) -> np.
     return np.log((target + mass * q) / (target.sum() + mass) / q)
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> list[int]:
-    rows = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return [r[0] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text of all rows of docs whose id has label quality 1."""
+    return of_ids(docs, labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct())
 
 
 def _repeats(words: T.Runs, k: int) -> np.ndarray:
@@ -128,7 +123,7 @@ def assess(text: pa.Array, weights: np.ndarray) -> dict[str, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """The log ratio of each bucket, from all of docs and the trusted rows of labels."""
-    return log_ratios(*ngram_counts(docs, trusted_ids(labels)))
+    return log_ratios(ngram_counts(docs), ngram_counts(trusted_rows(docs, labels)))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -237,6 +237,13 @@ def test_quality_score_is_the_mean_ratio_of_hashed_ngrams(docs, sf, spark):
     assert all(got[d] == pytest.approx(np.mean([w[table[g]] for g in f]) if f else 0) for d, f in grams.items())
 
 
+def test_quality_counts_all_trusted_rows(spark):
+    table = spark.range(21_000).selectExpr("id as doc_id", "concat('w', id % 4000, ' and w', id div 6) as text")
+    marks = table.selectExpr("doc_id", "1 as quality")
+    raw = np.bincount(quality._buckets(textscan.scan(pa.array([r.text for r in table.select("text").collect()])))[0], minlength=quality.BUCKETS).astype(float)
+    assert np.allclose(quality.fit(table, marks), quality.log_ratios(raw, raw))
+
+
 # ---- 5 near-duplicates
 
 
