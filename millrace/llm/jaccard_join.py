@@ -206,11 +206,11 @@ def of_ids(docs: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(known.hint("shuffle_hash"), "doc_id")  # a hash join needs no sort of the texts
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), class_size and n_links (other rows at least so similar) for every row of docs (doc_id, text)."""
+def _classified(docs: DataFrame, similarity: float, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_hash, node and sketch of every row of docs, and class_id, class_size, n_links and first_row (the least row of the class: no id last, doc_id, text_hash) of every node."""
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     members = shared.written(hashed.mapInArrow(sketch, "doc_id long, text_hash long, node long, sketch binary"), "sketches")
-    nodes = shared.written(members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("text_hash").alias("text_hash"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = shared.written(members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("text_hash").alias("text_hash"), F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash")).alias("first_row"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "nodes")
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = _buckets(nodes, runs_for(recall)).join(nodes.select("node", "sketch"), "node")
@@ -228,18 +228,32 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     label = components(found.select(F.col("node").alias("a"), F.col("leader").alias("b")))
     count = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.drop("sketch", "text_hash").join(label, "node", "left").join(count, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = known.groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    known = known.join(classes, "label").select("node", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    with_set = members.where("node is not null").select("doc_id", "node").join(shared.written(known, "classes"), "node")
+    classes = known.groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min("first_row").alias("first_row"))
+    known = known.drop("first_row").join(classes, "label").select("node", "class_id", "class_size", "first_row", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return members, shared.written(known, "classes")
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class), class_size and n_links (other rows at least so similar) for every row of docs (doc_id, text)."""
+    members, known = _classified(docs, similarity, recall)
+    with_set = members.where("node is not null").select("doc_id", "node").join(known.drop("first_row"), "node")
     alone = members.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
     return with_set.select("doc_id", "class_id", "class_size", "n_links").unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs but those whose class has a smaller doc_id."""
-    dropped = near_classes(docs, similarity).where("doc_id <> class_id").select(F.col("doc_id").alias("dropped")).distinct()
-    rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))
-    return rows.join(dropped, F.col("id") == F.col("dropped"), "left_anti").select("row.*")
+    """The rows of docs, of each class only the least by doc_id (nulls last), text hash and its other columns."""
+    members, known = _classified(docs, similarity)
+    held = members.where("node is not null").select("doc_id", "text_hash", "node").join(known.where("class_size > 1").select("node", "first_row"), "node")
+    held = held.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.first("first_row").alias("first_row"))
+    first = F.col("doc_id").eqNullSafe(F.col("first_row.doc_id")) & (F.col("text_hash") == F.col("first_row.text_hash"))
+    # Of several rows with the first id and text, which a key can't tell apart, one is put back.
+    gone = shared.written(held.where(~first | (F.col("n") > 1)).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), first.alias("first")), "gone")
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
+    same = lambda: F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash"))
+    back = gone.where("first")
+    again = only_hashed(rows, "hash", back.select(F.col("gone_hash").alias("hash"))).join(back, same()).groupBy("id", "hash").agg(F.min("row").alias("row"))
+    return rows.join(gone, same(), "left_anti").select("row.*").unionByName(again.select("row.*"))
 
 
 ORACLE = r"""

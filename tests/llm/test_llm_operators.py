@@ -296,6 +296,13 @@ def test_splitting_and_blocks_lose_nothing(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def test_one_of_each_removes_rows_not_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, 1), (7, text + " more", 2), (7, "a text of its own that has no copy", 3), (None, text + " less", 4), (1, text + " other", 5), (1, text, 6), (None, "x y z a b c", 7), (None, "x y z a b c", 8)]
+    got = sorted((r.doc_id or 0, r.text) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect())
+    assert len(got) == 3 and got[0] == (0, "x y z a b c") and got[1][0] == 1 and got[1][1].startswith(text) and got[2] == (7, rows[2][1])
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (None, 3)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
