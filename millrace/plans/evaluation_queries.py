@@ -180,6 +180,13 @@ def update_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.replace_document(docs, docs.where("doc_id % 2 = 0"), "source")[1]
 
 
+@query("SELECT doc_id, source, n_chars FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 2 = 0 AND source IS NOT NULL) UNION ALL SELECT doc_id, source, -n_chars FROM documents WHERE doc_id % 2 = 0")
+def update_document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table that update_document counts for, after its rows are replaced; n_chars of incoming rows is negated to tell them apart."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return E.replace_document(docs, docs.where("doc_id % 2 = 0").withColumn("n_chars", -F.col("n_chars")), "source")[0]
+
+
 @query("SELECT source, count_if(lang = 'de') AS de, count_if(lang = 'en') AS en, count_if(lang = 'es') AS es, count_if(lang = 'fr') AS fr FROM documents GROUP BY source")
 def crosstab_type_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.count(F.lit(1)))
