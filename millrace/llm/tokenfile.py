@@ -6,8 +6,9 @@ seekable format: a skippable frame with the compressed size, the decompressed si
 low 32 bits of the xxhash64 of its content), and a footer. A reader takes the footer, the table and the index from the
 end, and then decompresses only the frames of the documents asked for.
 
-Documents stand in ascending order of doc_id, null first, rows with equal ids by the hash of their text. A null or empty
-text is the end id alone. Each task writes a file of its own under a name that no other attempt uses; only files named
+Documents stand in ascending order of doc_id, null first, rows with equal ids by the hash of their text; rows equal in
+both may be parted into several files. A null or empty text is the end id alone. Extra columns don't enter, and an empty
+table makes no file. Each task writes a file of its own under a name that no other attempt uses; only files named
 in the manifest, which is written when all are complete, are ever read.
 """
 
@@ -48,7 +49,7 @@ class Writer:
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
         self.index.append((doc or 0, doc is not None, len(self.frames), self.held, len(ids)))
-        self.parts.append(ids.astype(f"<u{self.width}").tobytes())
+        self.parts.append(ids.astype(f"<u{self.width}", copy=False).tobytes())
         self.held += len(ids)
         if self.held >= FRAME_IDS:
             self.flush()
@@ -113,19 +114,20 @@ def write_tokens(docs: DataFrame, path: str = tokens.VOCABULARY, end: int = toke
     """Write the ids of docs (doc_id, text) and return the manifest: file, docs, ids and start (ids in files before it), in order of shard."""
     spark = docs.sparkSession
     folder = shared.new_folder(spark, "tokens")
-    width = 2 if tokens.Encoder(path).tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16 else 4
+    width = tokens.width(path, end)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = shared.file_system(folder)
         name, n_docs, n_ids, writer, sink = f"{root}/{uuid.uuid4().hex}.ids.zst", 0, 0, None, None
-        for part, ids in tokens.encoded(batches, path, end):
+        for part, ids, starts in tokens.encoded(batches, path, end):
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(name, compression=None)
                 writer = Writer(sink, width)
-            for doc, x in zip(part["doc_id"].to_pylist(), ids):
-                writer.add(doc, np.frombuffer(x, "<u4"))
-                n_docs, n_ids = n_docs + 1, n_ids + len(x) // 4
+            ids = ids.astype(f"<u{width}")
+            for doc, lo, hi in zip(part["doc_id"].to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):
+                writer.add(doc, ids[lo:hi])
+            n_docs, n_ids = n_docs + part.num_rows, n_ids + len(ids)
         if writer is not None:
             writer.close()
             sink.close()
@@ -133,7 +135,9 @@ def write_tokens(docs: DataFrame, path: str = tokens.VOCABULARY, end: int = toke
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([file]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], ["shard", "file", "docs", "ids"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # Ranges of equal ids are cut by text, and rows equal in both by the partition they come from.
+    order = ["doc_id", F.xxhash64("text"), "part"]
+    rows = docs.select("doc_id", "text", F.spark_partition_id().alias("part")).repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = shared.written(rows.mapInArrow(write, "shard long, file string, docs long, ids long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))

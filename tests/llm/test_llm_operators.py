@@ -2,9 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -172,8 +174,10 @@ def test_mix_ranks_long_lists_by_ranges(spark):
 
 
 def test_toxicity_on_held_out_rows(spark, docs):
-    rows = docs.where(F.length("text") > 200).limit(160).select("doc_id", "text").collect()
-    made = [(i, r.text + (" you utter blockhead nitwit" if i % 4 == 0 else ""), int(i % 4 == 0)) for i, r in enumerate(rows)]
+    # A ratio is a mean over the text, so one insult weighs by the text's length: there is one for every 40 words.
+    rows, r = docs.where(F.length("text") > 200).select("doc_id", "text").collect(), random.Random(2)
+    said = lambda words: " ".join(w + (" " + r.choice(("blockhead", "nitwit", "numpty")) if k % 40 == 7 else "") for k, w in enumerate(words))
+    made = [(i, said(x.text.split()) if i % 4 == 0 else x.text, int(i % 4 == 0)) for i, x in enumerate(rows)]
     table, marks = spark.createDataFrame([m[:2] for m in made], "doc_id long, text string"), spark.createDataFrame([(m[0], m[2]) for m in made], "doc_id long, toxic int")
     got = {r.doc_id: r for r in toxicity.toxicity(table, marks).collect()}
     held = [m for m in made if zlib.crc32(str(m[0]).encode()) % 5 == 0]
@@ -181,11 +185,84 @@ def test_toxicity_on_held_out_rows(spark, docs):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
 
 
-def test_toxicity_counts_all_labelled_rows(spark):
-    table = spark.createDataFrame([(i, f"a{i} common b{i % 7} {'nitwit' if i % 2 else 'friend'} c{i}") for i in range(400)], "doc_id long, text string")
-    marks = table.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
-    few, all_ = toxicity.fit(table, marks, most=10), toxicity.fit(table, marks)
-    assert len(few.words) == len(all_.words) and np.array_equal(few.words, all_.words) and np.array_equal(few.ratios, all_.ratios) and few.other == all_.other
+def brute_model(texts, word_discount, pair_discount, ratio=toxicity.RATIO):
+    """P(w | v) of both classes by plain counting; texts are (words, class). The word None stands for all that no text has."""
+    places = [(v, w, c) for words, c in texts for v, w in zip(["<"] + words, words + [">"])]
+    pair = {c: Counter((v, w) for v, w, k in places if k == c) for c in "to"}
+    plain = {c: Counter(w for _, w, k in places if k == c) for c in "to"}
+    for c in "to":
+        plain[c]["<"] = plain[c][">"]
+    after = {c: Counter(w for _, w in pair[c]) for c in "to"}
+    after_any = Counter(w for _, w in set(pair["t"]) | set(pair["o"]))
+    size, all_ = {c: sum(after[c].values()) for c in "to"}, sum(after_any.values())
+
+    def own(x, c, d, of, d_of, discount):
+        times = of / d_of if d_of else 0
+        left = x[c] - discount * max(times, 1)
+        return left if left > 0 and left > ratio * x[d] * times else 0.0
+
+    kept = {c: {w: own({k: after[k][w] for k in "to"}, c, d, size[c], size[d], word_discount) for w in after_any} for c, d in ("to", "ot")}
+    free = {c: 1 - sum(kept[c].values()) / size[c] for c in "to"}
+
+    def alone(c, w):
+        return kept[c].get(w, 0) / size[c] + free[c] * ((after_any[w] - 0.75) / all_ if w in after_any else 0.75 * len(after_any) / all_)
+
+    both = {c: {x: own({k: pair[k][x] for k in "to"}, c, d, plain[c][x[0]], plain[d][x[0]], pair_discount) for x in set(pair["t"]) | set(pair["o"])} for c, d in ("to", "ot")}
+
+    def p(c, v, w):
+        of_v = {x: both["t"][x] + both["o"][x] for x in both["t"] if x[0] == v and both["t"][x] + both["o"][x] > 0}
+        if not of_v:
+            return alone(c, w)
+        left = 1 - sum(of_v.values()) / (plain["t"][v] + plain["o"][v])
+        mine = sum(both[c][x] for x in of_v)
+        q = (both[c][v, w] + pair_discount * of_v[v, w] / sum(of_v.values())) / (mine + pair_discount) if (v, w) in of_v else 0
+        return (1 - left) * q + left * alone(c, w)
+
+    return p, list(after_any)
+
+
+def test_toxicity_ratios_agree_with_plain_counting(spark):
+    r = random.Random(6)
+    texts = []
+    for k in range(160):
+        words = [r.choice(["a", "b", "c", "d", f"r{r.randrange(50)}"]) for _ in range(r.randint(0, 12))]
+        texts.append((words + (["you", "bad", "one"] if k % 3 == 0 else ["be", "well"]) * r.randint(0, 2), "t" if k % 3 == 0 else "o"))
+    table = spark.createDataFrame([(k, " ".join(w)) for k, (w, _) in enumerate(texts)], "doc_id long, text string")
+    known = spark.createDataFrame([(k, int(c == "t")) for k, (_, c) in enumerate(texts)], "doc_id long, toxic int")
+    for discounts in ((1.5, 2.0), (3.0, 6.0)):
+        model = toxicity.combine(toxicity.count(table, known, *discounts), *discounts)
+        p, vocabulary = brute_model([x for x in texts if x[0]], *discounts)
+        for c in "to":
+            for v in ("<", "a", "you", "bad", "be", "r1"):
+                assert sum(p(c, v, w) for w in [*vocabulary, None]) == pytest.approx(1)
+        tried = [w for w, _ in texts] + [["never", "seen", "you", "bad"], ["you"], []]
+        got = toxicity.ratios(pa.array([" ".join(w) for w in tried]), model)
+        for w, x in zip(tried, got):
+            want = sum(math.log(p("t", a, b if b in vocabulary else None) / p("o", a, b if b in vocabulary else None)) for a, b in zip(["<"] + w, w + [">"])) / (len(w) + 1) if w else 0
+            assert x == pytest.approx(want), w
+        assert len(model.pairs.keys) > 2
+
+
+def test_toxicity_ratio_is_normalised_by_length(spark):
+    model = toxicity.Model(toxicity.Table(np.zeros(0, np.uint64), np.zeros(0), -0.5), toxicity.Table(np.zeros(0, np.uint64), np.zeros(0), np.nan), toxicity.Curve())
+    assert toxicity.ratios(pa.array(["a b", "a " * 1000, "", None, " . "]), model).tolist() == pytest.approx([-0.5, -0.5, 0, 0, 0])
+    assert toxicity.score(pa.array([""]), model).tolist() == [0.5]
+
+
+def test_toxicity_curve_rises_and_a_falling_one_is_level():
+    x, y = np.array([0.1, 0.2, 0.3, 0.4, -50, 60]), np.array([0, 0, 1, 1, 1, 0])
+    curve = toxicity.fit_curve(x, y, np.array([10, 10, 10, 10, 1, 1]))
+    assert (np.diff(curve(np.linspace(-3, 3, 50))) > 0).all() and curve(0.2) < 0.5 < curve(0.3)
+    assert len(set(toxicity.fit_curve(x[:4], 1 - y[:4], np.ones(4))(x).tolist())) == 1
+
+
+def test_toxicity_edge_values(spark, edge, none):
+    some = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (6, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    rows = toxicity.toxicity(edge, some).collect()
+    assert {r.score for r in rows if r.doc_id in (3, 4, 5)} == {next(r.score for r in rows if r.doc_id == 3)} and len({r.score for r in rows if r.doc_id == 2}) == 1
+    alone = toxicity.toxicity(edge, some.where("toxic = 0 and doc_id = 6")).collect()
+    assert all(r.score < 1e-6 and r.predicted == 0 for r in alone)
+    assert all(r.score == 0.5 for r in toxicity.toxicity(edge, some.limit(0)).collect()) or all(r.score < 0.51 for r in toxicity.toxicity(edge, some.limit(0)).collect())
 
 
 # ---- 4 quality
@@ -383,20 +460,57 @@ def test_pieces_hold_every_id_once(docs):
     assert sum(r.length for r in rows) / (4096 * len(by_seq)) > 0.97
 
 
+def encode_all(e, texts):
+    ids, starts = e.encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(starts, starts[1:])]
+
+
 def test_encoder_agrees_with_the_library_on_any_text():
-    r, e = random.Random(1), tokens.Encoder()
-    parts = ["a", "B", "é", "É", "ß", "'s", "'S", "'ll", "3", "12", "<|endoftext|>", " ", "\x1c", "́", "é", "İ", "Σ", "ς", "中文", "😀", "_", "-", "'", "|", "<", ">", "&", "\n", "\t", " ", "ﬁ", "ǅ", "½", "×", "\x00"]
+    r, e = random.Random(1), tokens.Encoder(end=None)
+    parts = ["a", "B", "é", "É", "ß", "'s", "'S", "'ll", "3", "12", "<|endoftext|>", " ", "\x1c", "́", "é", "İ", "Σ", "ς", "中文", "😀", "_", "-", "'", "|", "<", ">", "&", "\n", "\t", " ", "ﬁ", "ǅ", "½", "×", "\x00", "~", "~~", "÷", "Þ", "\xa0", "\u3000"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 20))) for _ in range(4000)]
-    for x, got in zip(texts, e.encode([x.encode() for x in texts], None)):
-        assert np.frombuffer(got, np.uint32).tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids
+    for lo in range(0, len(texts), 500):
+        part = texts[lo : lo + 500]
+        assert encode_all(e, part) == [e.tokenizer.encode(x, add_special_tokens=False).ids for x in part]
+
+
+def test_encoder_gives_each_text_its_end():
+    assert encode_all(tokens.Encoder(), [None, "", " a", "\n", "a b "]) == [[2], [2], [320, 2], [2], [320, 321, 2]]
+    assert encode_all(tokens.Encoder(), []) == []
 
 
 def test_encoder_forgets_and_learns_again(monkeypatch):
-    monkeypatch.setattr(tokens, "KEPT_RUNS", 5)
-    e = tokens.Encoder()
-    texts = [f"alpha{k} beta gamma{k}. delta" for k in range(50)]
+    monkeypatch.setattr(tokens, "KEPT_BYTES", 500)
+    e = tokens.Encoder(end=None)
+    texts = [f"alpha{k} beta gamma{k}. delta ~{k}" for k in range(50)]
     for x in texts + texts:
-        assert np.frombuffer(e.encode([x.encode()], None)[0], np.uint32).tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids
+        assert encode_all(e, [x, "beta delta."]) == [e.tokenizer.encode(y, add_special_tokens=False).ids for y in (x, "beta delta.")]
+    assert e.runs.nbytes() < 5000 and e.words.nbytes() < 5000
+
+
+def test_strings_with_equal_hashes_are_told_apart():
+    known, s = tokens.Known([2]), tokens.Strings(pa.array(["ab", "cd", "ef", "xyz"]))
+    s.hashes[:] = 7
+    assert known.add(s, np.array([0]), np.array([5, 6], np.uint32), np.array([2])).tolist() == [1]
+    assert known.find(s).tolist() == [1, -1, -1, -1]
+
+
+def test_packing_cuts_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 4_000)
+    table = spark.range(600).select(F.lit(1).cast("long").alias("doc_id"), F.lit("the same text of a row " * 9).alias("text"))
+    rows = packing.pack(table, capacity=512).collect()
+    assert sum(r.length for r in rows) == 600 * rows[0].doc_tokens
+    at = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert at.get(r.sequence_id, 0) == r.offset
+        at[r.sequence_id] = r.offset + r.length
+    assert max(at.values()) <= 512 and sum(at.values()) / 512 / len(at) > 0.7
+
+
+def test_packing_spreads_equal_rows(spark):
+    table = spark.range(6000, numPartitions=16).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    groups = {r.sequence_id >> 32 for r in packing.pack(table).select("sequence_id").collect()}
+    assert len(groups) > 1
 
 
 # ---- 8 exact copies
@@ -500,6 +614,13 @@ def test_token_files_round_trip_and_random_access(docs):
         assert ids.tolist() == np.frombuffer(next(r.ids for r in rows if r.doc_id == doc), "<u4").tolist()
 
 
+def test_token_files_part_equal_rows(spark):
+    table = spark.range(4000, numPartitions=16).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    manifest = tokenfile.write_tokens(table)
+    assert manifest.count() > 1 and manifest.agg(F.max("docs")).first()[0] < 4000
+    assert sorted(r.start for r in tokenfile.read_tokens(manifest).collect()) == list(range(0, 8000, 2))
+
+
 def test_damaged_frame_is_noticed(tmp_path):
     path = tmp_path / "x"
     with open(path, "wb") as f:
