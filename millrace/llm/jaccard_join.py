@@ -38,6 +38,8 @@ RUN_FINDS = 0.4
 #: Share of equal coordinates from which two nodes are clustered; four standard deviations below the threshold.
 NEAR = 0.6
 BITS = 1 << 22
+#: Ids, some 20 bytes each, that are broadcast.
+BROADCAST_ROWS = 500_000
 
 _U = np.uint64
 _FACTORS = T.seeds(COORDINATES, 5)
@@ -200,9 +202,15 @@ def only_hashed(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 
 
 def of_ids(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """text of the rows of docs whose doc_id is in known (one row an id), with known's columns. Only rows that a bitmap of the ids lets through are shuffled."""
+    """text of the rows of docs whose doc_id is in known (one row an id), with known's columns.
+
+    Up to BROADCAST_ROWS ids are broadcast. For more, only rows that a bitmap of the ids lets through are shuffled.
+    """
+    rows = docs.select("doc_id", "text")
+    if known.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(known), "doc_id")
     key = F.xxhash64(F.col("doc_id").cast("long")).alias("id_hash")
-    rows = only_hashed(docs.select("doc_id", "text", key), "id_hash", known.select(key)).drop("id_hash")
+    rows = only_hashed(rows.select("*", key), "id_hash", known.select(key)).drop("id_hash")
     return rows.join(known.hint("shuffle_hash"), "doc_id")  # a hash join needs no sort of the texts
 
 
