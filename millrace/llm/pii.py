@@ -1,21 +1,27 @@
 """Personal data: rules, and a character-level bidirectional LSTM with CRF transitions.
 
 The base rules find e-mail addresses, IP addresses, payment cards and phone numbers by pattern. The model labels single
-characters with B and I tags of the four kinds. It is trained here, in numpy, from labelled spans that `examples` makes
-from a seed: personal data in many forms, and numbers, dates and codes that are none. A text is read in windows of
-WINDOW characters at steps of half that; every window with a digit or an @ is decoded (a span of any kind has one, so
-other windows can't hold a part of one that counts). Where windows overlap, each character takes its tag from the
-window in whose middle it lies. Spans that fail their kind's test of form, or touch a base span, are dropped; base
-spans always stay.
-
-Null texts are empty. Texts of any length are read whole, a bounded number of windows at a time. Rows don't depend on
-each other: repeated rows and ids, ties and other columns play no part.
+characters with B and I tags of the four kinds, also in forms that the base rules don't know: phone numbers without a plus
+sign, cards of 15 digits or with dots, IPv6 addresses, e-mail addresses with letters beyond ASCII or with spaces around the @. It is
+trained here, in numpy, from labelled spans that `examples` makes from a seed: personal data in many forms, and numbers,
+dates and codes that are none.
+
+A text is read in windows of WINDOW characters at steps of half that; those with a digit or an @ and their neighbours are
+scored (a span of any kind has one, so no other window can hold a part of one). Where two windows overlap, a character's tag
+scores are their mean, weighted by its distance from the windows' edges. Each stretch of overlapping windows, however
+long, is then one chain, and one Viterbi pass finds its best path by tag scores and transitions. Spans of the model that overlap a base
+span are dropped; base spans always stay.
+
+Null texts are empty. Texts of any length are read whole. Rows don't depend on each other: repeated rows and ids, ties and
+other columns play no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -25,10 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, BATCH_WINDOWS = 64, 256
-EMBED, HIDDEN, TAGS = 8, 16, 1 + 2 * len(KINDS)
-EXAMPLES, EPOCHS, BATCH, RATE, SEED = 4_000, 6, 50, 0.01, 11
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+WINDOW, BATCH_WINDOWS = 64, 512
+EMBED, HIDDEN, TAGS = 12, 32, 1 + 2 * len(KINDS)
+EXAMPLES, EPOCHS, BATCH, RATE, SEED = 12_000, 6, 64, 0.01, 11
+#: Tag steps of chains that are decoded side by side.
+CHAIN_CELLS = 1 << 20
+#: Characters of the shortest span that the model may add.
+LEAST = 5
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 # Fixed patterns of the base rules. The starts are anchored at the first digit of a run, which changes no match and keeps long runs linear.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -92,43 +102,61 @@ def _word(r: random.Random) -> str:
     return "".join(r.choice(("th", "er", "on", "an", "re", "he", "in", "ed", "sch", "eau", "ción", "é", "ü", "ß", "ñ", "a", "o", "st", "ng", "ly")) for _ in range(r.randint(1, 4)))
 
 
+def _luhn_number(r: random.Random, first: str, n: int) -> str:
+    body = first + _number(r, n - 1 - len(first))
+    return next(body + str(d) for d in range(10) if luhn(body + str(d)))
+
+
 def _card(r: random.Random) -> str:
-    body = r.choice("3456") + _number(r, 14)
-    digits = next(body + str(d) for d in range(10) if luhn(body + str(d)))
-    return r.choice(("", " ", "-")).join(digits[k : k + 4] for k in range(0, 16, 4))
+    if r.random() < 0.25:  # 15 digits in groups of 4, 6 and 5
+        digits, mark = _luhn_number(r, r.choice(("34", "37")), 15), r.choice(("", " ", "-"))
+        return mark.join((digits[:4], digits[4:10], digits[10:]))
+    digits = _luhn_number(r, r.choice("23456"), 16)
+    return r.choice(("", "", " ", "-", ".")).join(digits[k : k + 4] for k in range(0, 16, 4))
 
 
 def _phone(r: random.Random) -> str:
-    a, b, c, d = _number(r, 3), _number(r, 3), _number(r, 4), _number(r, 2)
-    return r.choice((f"+{r.randint(1, 99)} ({a}) {b}-{c}", f"+{r.randint(1, 99)} {a} {b} {c}", f"+{r.randint(1, 99)}-{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{r.randint(1, 99)}{a}{b}{c}", f"+{r.randint(30, 49)} {a} {d} {d} {d}", f"{a}.{b}.{c}"))
+    a, b, c, d, e = _number(r, 3), _number(r, 3), _number(r, 4), _number(r, 2), _number(r, 2)
+    code, mark = r.randint(1, 99), r.choice((" ", "-", "."))
+    return r.choice((
+        f"+{code} ({a}) {b}-{c}", f"+{code} {a} {b} {c}", f"+{code}-{a}-{b}-{c}", f"+{code}{a}{b}{c}", f"+{r.randint(30, 49)} {a} {d} {e} {d}", f"({a}) {b}-{c}", f"({a}) {b} {c}",
+        f"{a}{mark}{b}{mark}{c}", f"0{d} {c} {_number(r, 4)}", f"0{a[:2]} {b} {c}", f"0{r.randint(1, 9)} {d} {e} {_number(r, 2)} {_number(r, 2)}", f"1-{a}-{b}-{c}", f"00{code} {a} {b} {c}", f"0{_number(r, 3)}/{_number(r, 6)}",
+    ))
 
 
 def _email(r: random.Random) -> str:
-    name = r.choice((_word(r), f"{_word(r)}.{_word(r)}", f"{_word(r)}{r.randint(1, 99)}", f"{_word(r)}_{_word(r)}", f"{_word(r)}.{r.randint(1, 99)}"))
+    name = r.choice((_word(r), f"{_word(r)}.{_word(r)}", f"{_word(r)}{r.randint(1, 99)}", f"{_word(r)}_{_word(r)}", f"{_word(r)}.{r.randint(1, 99)}", f"{_word(r)}-{_word(r)}+{_word(r)}"))
     host = r.choice(("example", "mail", "mail" + str(r.randint(1, 9)) + ".example", _word(r), _word(r) + "-" + _word(r)))
-    plain = "".join(c for c in f"{name}@{host}.{r.choice(('com', 'org', 'net', 'de', 'fr', 'es', 'co.uk'))}" if ord(c) < 128)
-    return plain if plain[0] != "@" and "@." not in plain else "ana" + plain.replace("@.", "@x.")
+    at = r.choice(("@", "@", "@", "@", " @ "))
+    return f"{name}{at}{host}.{r.choice(('com', 'org', 'net', 'de', 'fr', 'es', 'co.uk', 'info'))}"
 
 
 def _ip(r: random.Random) -> str:
+    if r.random() < 0.25:
+        groups = ["".join(r.choice("0123456789abcdef") for _ in range(r.randint(1, 4))) for _ in range(8)]
+        cut = r.randint(1, 5)
+        return ":".join(groups) if r.random() < 0.5 else ":".join(groups[:cut]) + "::" + ":".join(groups[cut + 2 :][: r.randint(1, 4)])
     return ".".join(str(r.randint(0, 255)) for _ in range(4))
 
 
 def _other(r: random.Random) -> str:
     """What looks like personal data and is none."""
+    n, hexes = _number, lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     return r.choice((
-        _number(r, r.randint(1, 7)), f"{r.randint(1, 31)}.{r.randint(1, 12)}.{r.randint(1900, 2030)}", f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 31):02d}", f"v{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}",
-        f"{r.randint(0, 23):02d}:{r.randint(0, 59):02d}", f"${r.randint(1, 9999)}.{_number(r, 2)}", f"{r.randint(1, 999)},{_number(r, 3)},{_number(r, 3)}", "".join(r.choice("0123456789abcdef") for _ in range(r.randint(16, 40))), f'token = "{"".join(r.choice("0123456789abcdef") for _ in range(40))}"',
-        f"@{_word(r)}", _number(r, r.randint(20, 30)), f"{_word(r)}{_number(r, 3)}", f"{_number(r, 2)} {_number(r, 3)}", f"#{_number(r, 5)}", f"{r.randint(1, 99)}%", f"{_word(r)} @ {_word(r)}", f"{_number(r, 4)}-{_number(r, 2)}", f"AK{_number(r, 8)}X{_number(r, 8)}",
+        n(r, r.randint(1, 6)), f"{r.randint(1, 31)}.{r.randint(1, 12)}.{r.randint(1900, 2030)}", f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 31):02d}", f"v{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}",
+        f"{r.randint(0, 23):02d}:{r.randint(0, 59):02d}", f"{r.randint(0, 23):02d}:{r.randint(0, 59):02d}:{r.randint(0, 59):02d}", f"${r.randint(1, 9999)}.{n(r, 2)}", f"{r.randint(1, 999)},{n(r, 3)},{n(r, 3)}", hexes(r.randint(16, 40)), f'token = "{hexes(40)}"',
+        f"@{_word(r)}", n(r, r.randint(20, 30)), f"{_word(r)}{n(r, 3)}", f"{n(r, 2)} {n(r, 3)}", f"#{n(r, 5)}", f"{r.randint(1, 99)}%", f"{_word(r)} @ {_word(r)}", f"{n(r, 4)}-{n(r, 2)}", f"AK{n(r, 8)}X{n(r, 8)}",
+        f"{n(r, 3)}-{n(r, 2)}-{n(r, 4)}", f"{r.randint(1, 12)}/{r.randint(1, 31)}/{r.randint(1900, 2030)}", f"{r.randint(1, 20)}.{r.randint(0, 20)}", f"{r.randint(1900, 2030)}-{r.randint(1900, 2030)}", f"{n(r, 3)} {n(r, 3)}", f"0.{n(r, 5)}", f"§ {r.randint(1, 300)}", f"{n(r, 10)}",
+        f"{hexes(8)}-{hexes(4)}-{hexes(4)}", f"CC BY {r.randint(1, 4)}.0", f"{r.randint(100, 999)}-{r.randint(1, 9)}-{n(r, 2)}-{n(r, 6)}-{r.randint(0, 9)}",
     ))
 
 
-def examples(n: int, seed: int) -> list[tuple[str, list[Span]]]:
-    """Texts of about WINDOW characters with their labelled spans; some are cut at an edge, as windows are."""
+def examples(n: int, seed: int, width: int = WINDOW) -> list[tuple[str, list[Span]]]:
+    """Texts of width characters with their labelled spans; some are cut at an edge, as windows are."""
     r, make, out = random.Random(seed), {"email": _email, "ip": _ip, "card": _card, "phone": _phone}, []
     for _ in range(n):
         text, spans = "", []
-        while len(text) < 2 * WINDOW:
+        while len(text) < width + WINDOW:
             x = r.random()
             if x < 0.22:
                 kind = r.choice(KINDS)
@@ -137,8 +165,8 @@ def examples(n: int, seed: int) -> list[tuple[str, list[Span]]]:
             else:
                 s = _other(r) if x < 0.45 else _word(r).capitalize() if x < 0.55 else _word(r)
             text += s + r.choice((" ", " ", " ", " ", ", ", ". ", ".\n", "*** ", "!! ", " | ", ": ", "; "))
-        lo = r.randrange(len(text) - WINDOW + 1)
-        out.append((text[lo : lo + WINDOW], [(k, max(a, lo) - lo, min(b, lo + WINDOW) - lo) for k, a, b in spans if a < lo + WINDOW and b > lo]))
+        lo = r.randrange(len(text) - width + 1)
+        out.append((text[lo : lo + width], [(k, max(a, lo) - lo, min(b, lo + width) - lo) for k, a, b in spans if a < lo + width and b > lo]))
     return out
 
 
@@ -161,7 +189,7 @@ def tags(spans: list[Span], n: int) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 class Lstm:
@@ -267,21 +295,6 @@ class Tagger:
         np.add.at(de, x.T, dx + dx2[::-1])
         return float((total - gold).mean()), {"embed": de, "left": dl, "right": dr, "out": dout, "moves": dm}
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best tag path of each window (window, step)."""
-        s, moves = self.scores(x), self.moves()
-        steps, n, _ = s.shape
-        best, came = s[0], np.empty((steps, n, TAGS), np.int8)
-        for t in range(1, steps):
-            through = best[:, :, None] + moves[None]
-            came[t] = through.argmax(1)
-            best = through.max(1) + s[t]
-        out = np.empty((steps, n), np.int64)
-        out[-1] = best.argmax(1)
-        for t in range(steps - 1, 0, -1):
-            out[t - 1] = came[t, np.arange(n), out[t]]
-        return out.T
-
 
 @functools.lru_cache(1)
 def trained(n: int = EXAMPLES, epochs: int = EPOCHS, seed: int = SEED) -> Tagger:
@@ -309,51 +322,88 @@ def trained(n: int = EXAMPLES, epochs: int = EPOCHS, seed: int = SEED) -> Tagger
 # ---- reading texts
 
 
+def viterbi(chains: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
+    """The best tag path of each chain of tag scores (step, tag). Chains of like length are decoded side by side."""
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(chains)
+    order = sorted(range(len(chains)), key=lambda k: -len(chains[k]))
+    while order:
+        longest = max(1, len(chains[order[0]]))
+        part, order = order[: max(1, CHAIN_CELLS // longest)], order[max(1, CHAIN_CELLS // longest) :]
+        sizes = np.array([len(chains[k]) for k in part])
+        scores = np.zeros((longest, len(part), TAGS), np.float32)
+        for j, k in enumerate(part):
+            scores[: sizes[j], j] = chains[k]
+        best, came = scores[0].copy(), np.zeros((longest, len(part), TAGS), np.int8)
+        for t in range(1, longest):
+            n = np.searchsorted(-sizes, -t, side="left")  # chains longer than t stand first
+            through = best[:n, :, None] + moves
+            came[t, :n] = through.argmax(1)
+            best[:n] = through.max(1) + scores[t, :n]
+        tag = best.argmax(1)
+        path = np.zeros((longest, len(part)), np.int64)
+        for t in range(longest - 1, -1, -1):
+            here = sizes > t
+            path[t, here] = tag[here]
+            tag[here] = came[t, here, tag[here]] if t else tag[here]
+        for j, k in enumerate(part):
+            out[k] = path[: sizes[j], j]
+    return out
+
+
+def chain_scores(text: str, tagger: Tagger) -> Iterator[tuple[int, np.ndarray]]:
+    """Where each stretch of windows with a digit or an @ begins, and the tag scores of its characters."""
+    half = WINDOW // 2
+    x = codes(text)
+    blocks = np.unique(np.flatnonzero(((x >= 49) & (x <= 58)) | (x == 65)) // half)
+    if not len(blocks):
+        return
+    # A block of half a window is scored if it or a neighbour has a digit or an @; block 0 of the padded text stands before the text.
+    scored = np.unique(np.concatenate([blocks, blocks + 1, blocks + 2]))
+    scored = scored[(scored >= 1) & ((scored - 1) * half < len(x))]
+    starts = np.unique(np.concatenate([scored - 1, scored]))
+    padded = np.concatenate([np.zeros(half, np.int64), x, np.zeros(2 * half, np.int64)])
+    weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None] / (half + 1)
+    sums: dict[int, np.ndarray] = {}
+    for lo in range(0, len(starts), BATCH_WINDOWS):
+        part = starts[lo : lo + BATCH_WINDOWS]
+        found = tagger.scores(np.stack([padded[k * half : k * half + WINDOW] for k in part])).transpose(1, 0, 2) * weight
+        for k, s in zip(part.tolist(), found):
+            for b, piece in ((k, s[:half]), (k + 1, s[half:])):
+                sums[b] = sums[b] + piece if b in sums else piece
+    edges = np.flatnonzero(np.diff(scored) > 1) + 1
+    for run in np.split(scored, edges):
+        begin = (int(run[0]) - 1) * half
+        yield begin, np.concatenate([sums[b] for b in run.tolist()])[: len(x) - begin]
+
+
 def model_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
-    """Spans of the model in each text, by start, before they meet base spans."""
-    half, jobs, out = WINDOW // 2, [], [[] for _ in texts]
-    coded = []
-    for k, text in enumerate(texts):
-        x = np.concatenate([np.zeros(half // 2, np.int64), codes(text), np.zeros(WINDOW, np.int64)])
-        coded.append(x)
-        hint = ((x >= 49) & (x <= 58)) | (x == 65)
-        blocks = np.unique(np.flatnonzero(hint) // half)
-        jobs += [(k, int(b) * half) for b in sorted({b - d for b in blocks.tolist() for d in (0, 1) if b - d >= 0}) if b * half + WINDOW <= len(x)]
-    found: dict[int, np.ndarray] = {}
-    for lo in range(0, len(jobs), BATCH_WINDOWS):
-        part = jobs[lo : lo + BATCH_WINDOWS]
-        paths = tagger.decode(np.stack([coded[k][a : a + WINDOW] for k, a in part]))
-        for (k, a), path in zip(part, paths):
-            held = found.setdefault(k, np.zeros(len(coded[k]), np.int64))
-            held[a + half // 2 : a + half // 2 + half] = path[half // 2 : half // 2 + half]
-    for k, path in found.items():
-        path = path[half // 2 : half // 2 + len(texts[k])]
+    """Spans of the model in each text, by start, before they meet base spans. Marks and spaces at their ends are no part of them."""
+    out: list[list[Span]] = [[] for _ in texts]
+    chains = [(k, begin, scores) for k, text in enumerate(texts) for begin, scores in chain_scores(text, tagger)]
+    for (k, begin, _), path in zip(chains, viterbi([c[2] for c in chains], tagger.moves())):
         at = 0
-        marked = np.flatnonzero(path).tolist()
-        for p in marked:
+        for p in np.flatnonzero(path).tolist():
             if p < at:
                 continue
-            kind, end = (int(path[p]) - 1) // 2, p + 1
-            while end < len(path) and path[end] == 2 * kind + 2:
-                end += 1
-            out[k].append((KINDS[kind], p, end))
-            at = end
+            kind, at = (int(path[p]) - 1) // 2, p + 1
+            while at < len(path) and path[at] == 2 * kind + 2:
+                at += 1
+            a, b = begin + p, begin + at
+            while a < b and not (texts[k][a].isalnum() or texts[k][a] in "+(:"):
+                a += 1
+            while a < b and not texts[k][b - 1].isalnum():
+                b -= 1
+            if b - a >= LEAST and _HINT.search(texts[k], a, b):
+                out[k].append((KINDS[kind], a, b))
     return out
 
 
-_FORMS = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+){3}"), "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"(\+[0-9]|\([0-9]{2,4}\)|[0-9]{2,4}[-. ])[\x20().0-9-]+[0-9]")}
-
-
-def merged(text: str, base: list[Span], model: list[Span]) -> list[Span]:
-    """Base spans and those of the model that have their kind's form, stand free of letters and digits, and touch no base span."""
-    taken = [(a, b) for _, a, b in base]
-    out = list(base)
-    for kind, a, b in model:
-        s = text[a:b]
-        free = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
-        if free and _FORMS[kind].fullmatch(s) and fits(kind, s) and all(b <= x or a >= y for x, y in taken):
-            out.append((kind, a, b))
-    return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
+def merged(base: list[Span], model: list[Span]) -> list[Span]:
+    """Base spans, and those of the model that overlap none of them."""
+    taken = sorted((a, b) for _, a, b in base)
+    starts, ends = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
+    free = [s for s in model if (k := bisect.bisect_left(starts, s[2])) == 0 or ends[k - 1] <= s[1]]
+    return sorted([*base, *free], key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
 def listed(spans: list[Span]) -> str:
@@ -361,7 +411,7 @@ def listed(spans: list[Span]) -> str:
 
 
 def find_spans(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """doc_id, counts of base spans by kind, the digest of base spans and all spans, for every row of docs (doc_id, text)."""
+    """doc_id, counts of base spans by kind, the digest of base spans, all spans and their number, for every row of docs (doc_id, text)."""
     tagger = tagger or trained()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,9 +423,9 @@ def find_spans(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
                 hinted = [k for k, t in enumerate(texts) if _HINT.search(t)]
                 spans = list(base)
                 for k, found in zip(hinted, model_spans([texts[k] for k in hinted], tagger)):
-                    spans[k] = merged(texts[k], base[k], found)
+                    spans[k] = merged(base[k], found)
                 counts = [pa.array([sum(s[0] == kind for s in b) for b in base], pa.int64()) for kind in KINDS]
                 digest = [hashlib.sha256(listed(sorted(b, key=lambda s: (KINDS.index(s[0]), s[1]))).encode()).hexdigest() for b in base]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], *counts, pa.array(digest), pa.array([listed(s) for s in spans])], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *counts, pa.array(digest), pa.array([listed(s) for s in spans]), pa.array([len(s) for s in spans], pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     return docs.select("doc_id", "text").mapInArrow(apply, SCHEMA)

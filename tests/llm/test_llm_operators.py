@@ -575,15 +575,69 @@ def tagger():
     return pii.trained()
 
 
-def test_tagger_on_unseen_examples_and_windows(tagger):
-    data = pii.examples(300, 99)
-    want = found = right = 0
-    inner = lambda spans: {s for s in spans if s[1] > 0 and s[2] < pii.WINDOW}
+def test_tagger_on_unseen_examples_of_each_kind(tagger):
+    data = pii.examples(150, 99, 600)
+    count = Counter()
+    inner = lambda spans: {s for s in spans if s[1] > 0 and s[2] < 600}
     for (_, gold), got in zip(data, pii.model_spans([t for t, _ in data], tagger)):
-        want, found, right = want + len(inner(gold)), found + len(inner(got)), right + len(inner(gold) & inner(got))
-    assert right / want > 0.7 and right / found > 0.7
-    text = "plain words " * 30 + "call (499) 555-6503 now " + "more words " * 30
-    assert ("phone", text.index("("), text.index(" now")) in pii.model_spans([text], tagger)[0]
+        for what, spans in (("want", inner(gold)), ("found", inner(got)), ("right", inner(gold) & inner(got))):
+            count.update((what, kind) for kind, _, _ in spans)
+    for kind in pii.KINDS:
+        assert count["want", kind] > 300 and count["right", kind] >= 0.9 * count["want", kind] and count["right", kind] >= 0.9 * count["found", kind], (kind, count)
+
+
+@pytest.mark.parametrize("s,kind", [("415.555.0132", "phone"), ("415-555-0132", "phone"), ("020 7946 0958", "phone"), ("(499) 555-6503", "phone"), ("3782 822463 10005", "card"), ("fe80::1ff:fe23:4567:890a", "ip"), ("josé@correo.es", "email"), ("123-45-6789", None), ("2020-10-12", None), ("10:30", None), ("3.0", None)])
+def test_tagger_in_a_long_text(tagger, s, kind):
+    """Wherever windows begin, a span is found whole, and as often as it stands."""
+    for before in range(0, 64, 7):
+        text = "x" * before + " plain words " * 20 + f"ask {s} now " + "more words " * 30 + f"and {s} too"
+        want = [(kind, m.start(), m.end()) for m in re.finditer(re.escape(s), text)] if kind else []
+        assert pii.model_spans([text, "none", text], tagger) == [want, [], want]
+
+
+def test_viterbi_agrees_with_all_paths():
+    r = np.random.default_rng(4)
+    moves = r.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
+    chains = [r.standard_normal((n, pii.TAGS)).astype(np.float32) for n in (1, 4, 3, 2, 4, 1)]
+    value = lambda c, path: sum(c[t, k] for t, k in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:]))
+    for chain, got in zip(chains, pii.viterbi(chains, moves)):
+        assert got.tolist() == list(max(itertools.product(range(pii.TAGS), repeat=len(chain)), key=lambda p: value(chain, p)))
+
+
+def test_viterbi_in_parts_agrees(monkeypatch):
+    r = np.random.default_rng(5)
+    moves = r.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
+    chains = [r.standard_normal((n, pii.TAGS)).astype(np.float32) for n in r.integers(1, 90, 40).tolist()]
+    whole = pii.viterbi(chains, moves)
+    monkeypatch.setattr(pii, "CHAIN_CELLS", 100)
+    assert all((a == b).all() for a, b in zip(whole, pii.viterbi(chains, moves)))
+
+
+def test_path_likelihoods_sum_over_all_paths():
+    t = pii.Tagger(3)
+    x = pii.codes("a1@b")[None]
+    s, moves = t.scores(x)[:, 0], t.moves()
+    paths = list(itertools.product(range(pii.TAGS), repeat=4))
+    value = np.array([sum(s[k, p[k]] for k in range(4)) + sum(moves[a, b] for a, b in zip(p, p[1:])) for p in paths], np.float64)
+    y = paths[700]
+    loss, _ = t.gradients(x, np.array([y]))
+    assert loss == pytest.approx(np.log(np.exp(value).sum()) - value[700], rel=1e-4)
+
+
+def test_chain_scores_join_windows(tagger):
+    text = "7" * 300
+    ((begin, scores),) = pii.chain_scores(text, tagger)
+    assert begin == 0 and scores.shape == (300, pii.TAGS)
+    padded = np.concatenate([np.zeros(32, np.int64), pii.codes(text), np.zeros(64, np.int64)])
+    one, two = (tagger.scores(padded[None, k : k + 64])[:, 0] for k in (96, 128))  # characters 64 to 127 and 96 to 159
+    near, far = np.arange(32, 0, -1)[:, None] / 33, np.arange(1, 33)[:, None] / 33
+    assert np.allclose(scores[96:128], one[32:] * near + two[:32] * far, atol=1e-4)
+    assert list(pii.chain_scores("no digits", tagger)) == [] and list(pii.chain_scores("", tagger)) == []
+
+
+def test_model_spans_yield_to_base_spans():
+    base = [("phone", 10, 20), ("email", 30, 40)]
+    assert pii.merged(base, [("ip", 5, 10), ("card", 5, 11), ("phone", 12, 15), ("ip", 20, 30), ("ip", 39, 50), ("ip", 41, 50)]) == [("email", 30, 40), ("ip", 5, 10), ("ip", 20, 30), ("ip", 41, 50), ("phone", 10, 20)]
 
 
 def test_base_spans_stay(spark, tagger):
@@ -592,6 +646,15 @@ def test_base_spans_stay(spark, tagger):
     base = pii.base_spans(rows[0][1])
     assert set(pii.listed(base).split(",")) <= set(got[1].spans.split(",")) and (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (1, 1, 0, 1)
     assert got[1].base_sha256 == hashlib.sha256(pii.listed(base).encode()).hexdigest() and got[2].spans == "" and got[3].spans == ""
+    assert got[4].spans == "phone:5:19" and [got[k].n_spans for k in (1, 2, 3, 4)] == [3, 0, 0, 1]
+
+
+def test_personal_data_edge_values(spark, edge, tagger):
+    empty = hashlib.sha256(b"").hexdigest()
+    assert all(r.spans == "" and r.base_sha256 == empty and r.n_spans == r.n_email == r.n_ip == r.n_card == r.n_phone == 0 for r in pii.find_spans(edge, tagger).collect())
+    ends = "10.0.0.1" + " word" * 30_000 + " a@b.cc"
+    (row,) = pii.find_spans(spark.createDataFrame([(1, ends)], "doc_id long, text string"), tagger).collect()
+    assert row.spans == f"email:{len(ends) - 6}:{len(ends)},ip:0:8"
 
 
 # ---- 10 token files
