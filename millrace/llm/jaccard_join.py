@@ -1,11 +1,15 @@
 """N-gram Jaccard join by chosen paths.
 
 A text is the set of its shingles of WIDTH words; a text of fewer words is one shingle. Texts with equal sets are one
-node. A node's set is embedded as COORDINATES minhash values, which agree between two nodes with a probability equal to
-their similarity. A run splits all nodes by the value of one sampled coordinate; a bucket of more than LEAF nodes is
-split again by a coordinate sampled from its path, up to DEPTH times, and one that is still larger is compared in pairs
-of blocks, so none is given up. Buckets are compared by brute force on all coordinates. Runs are repeated as often as
-the target recall asks for.
+node. A node's set is embedded as COORDINATES minhash values (tokens sampled from it), which agree between two nodes with a
+probability equal to their similarity. A run is a tree of chosen paths: every bucket is split by the values of 1 / SIMILARITY
+sampled coordinates on average, one and often a second, so that a pair at the threshold shares one child bucket on average
+and lives on down the tree with the odds of a critical branching process (`run_finds`). Buckets of up to LEAF nodes are
+compared by brute force on all coordinates; larger ones are split again, up to DEPTH times, and one that is still larger is
+compared in pairs of blocks, so none is given up. Runs are repeated as often as the target recall asks for at the greatest depth.
+
+Large groups of near copies can't be split, as all agree. Nodes of large buckets that are near their bucket's least node
+are joined with it first, and a bucket whose nodes are all joined to each other this way has no pair left to find.
 
 Pairs near enough in their coordinates only join nodes into clusters. Within a cluster every pair of sets is compared
 exactly, in pairs of blocks if it is large, and what reaches the threshold is a link. No pair is ever a row: a block
@@ -33,8 +37,6 @@ from .components import components
 WIDTH, SIMILARITY = 5, 0.8
 COORDINATES, LEAF, DEPTH, BLOCK = 64, 2000, 6, 400
 RECALL = 0.9999
-#: A run finds a pair at the threshold with this probability: 0.8 for its first split and for each of up to three more.
-RUN_FINDS = 0.4
 #: Share of equal coordinates from which two nodes are clustered; four standard deviations below the threshold.
 NEAR = 0.6
 BITS = 1 << 22
@@ -45,7 +47,17 @@ _U = np.uint64
 _FACTORS = T.seeds(COORDINATES, 5)
 
 
-def runs_for(recall: float, finds: float = RUN_FINDS) -> int:
+def run_finds(similarity: float = SIMILARITY, levels: int = 1 + DEPTH) -> float:
+    """The probability that a run brings a pair at this similarity into one bucket, after so many splits."""
+    second = 1 / similarity - 1  # how often a split has a second coordinate
+    lives = 1.0
+    for _ in range(levels):
+        apart = 1 - similarity * lives
+        lives = 1 - apart * (1 - second + second * apart)
+    return lives
+
+
+def runs_for(recall: float, finds: float) -> int:
     """Runs after which a pair has been found with probability recall, if each finds it with probability `finds`."""
     return math.ceil(math.log(1 - recall) / math.log(1 - finds))
 
@@ -160,29 +172,52 @@ def compare_sets(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array((near * copies[None, :]).sum(1)), pa.array(leaders(near, nodes))], ["node", "links", "leader"])
 
 
-def _buckets(nodes: DataFrame, runs: int) -> DataFrame:
-    """(path, node) of all buckets to compare."""
-    values = nodes.select("node", "sketch", F.explode(F.array(*map(F.lit, range(runs)))).alias("at"))
-    value = F.substring("sketch", F.col("at") * 4 + 1, F.lit(4))
-    rows = shared.written(values.select(F.xxhash64("at", value).alias("path"), "node"), "paths")
-    leaves = []
-    for depth in range(DEPTH + 1):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        rows = rows.join(sizes, "path")
-        leaves.append(rows.where(F.col("size") <= LEAF).select("path", "node"))
-        large = shared.written(rows.where(F.col("size") > LEAF), "large")
+def near_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of each node that is near the first node of its bucket."""
+    for batch in batches:
+        mine, first = (np.frombuffer(b"".join(batch[k].to_pylist()), np.uint32).reshape(-1, COORDINATES) for k in ("sketch", "first_sketch"))
+        near = pa.array((mine == first).sum(1) >= math.ceil(NEAR * COORDINATES))
+        yield pa.RecordBatch.from_arrays([batch["node"].filter(near), batch["first"].filter(near)], ["a", "b"])
+
+
+def _split(rows: DataFrame, similarity: float, depth: int) -> DataFrame:
+    """(path, node) of the children of all buckets: one for each node and sampled coordinate. rows are (path, node, sketch)."""
+    draw = lambda k: F.xxhash64("path", F.lit(depth), F.lit(k))
+    also = F.pmod(draw(2), F.lit(1 << 20)) < int((1 / similarity - 1) * (1 << 20))
+    coordinates = F.array_compact(F.array(F.pmod(draw(0), F.lit(COORDINATES)), F.when(also, F.pmod(draw(1), F.lit(COORDINATES)))))
+    rows = rows.select("path", "node", "sketch", F.explode(F.array_distinct(coordinates)).alias("at")).withColumn("at", F.col("at").cast("int"))
+    return rows.select(F.xxhash64("path", "at", F.substring("sketch", F.col("at") * 4 + 1, F.lit(4))).alias("path"), "node")
+
+
+def _buckets(nodes: DataFrame, runs: int, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame | None]:
+    """(path, node) of all buckets to compare, and links (a, b) of near nodes found on the way."""
+    sketches = nodes.select("node", "sketch")
+    rows = shared.written(_split(sketches.select(F.explode(F.expr(f"sequence(0L, {runs - 1}L)")).alias("path"), "node", "sketch"), similarity, 0), "paths")
+    leaves, links, label = [], None, None
+    for depth in range(1, DEPTH + 2):
+        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
+        leaves.append(rows.join(sizes.where(F.col("size") <= LEAF).select("path"), "path"))
+        large = shared.written(rows.join(sizes.where(F.col("size") > LEAF), "path"), "large")
+        if large.isEmpty():
+            break
+        if links is None:
+            firsts = large.select("path", "first").distinct().join(sketches.withColumnsRenamed({"node": "first", "sketch": "first_sketch"}), "first")
+            links = shared.written(large.select("path", "node").join(sketches, "node").join(firsts, "path").mapInArrow(near_first, "a long, b long").where("a <> b").distinct(), "near-first")
+            label = components(links)
+        # A bucket within one component has no pair left to find.
+        large = large.join(label, "node", "left")
+        mixed = large.groupBy("path").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("label").alias("known"), F.count("*").alias("n")).where("least is null or least <> most or known < n").select("path")
+        large = shared.written(large.drop("label").join(mixed, "path"), "mixed")
         if large.isEmpty():
             break
-        if depth < DEPTH:
-            at = F.pmod(F.xxhash64("path", F.lit(depth)), F.lit(COORDINATES)).cast("int").alias("at")
-            split = large.join(nodes.select("node", "sketch"), "node").select("path", "node", "sketch", at)
-            rows = shared.written(split.select(F.xxhash64("path", "at", value).alias("path"), "node").distinct(), "paths")
+        if depth <= DEPTH:
+            rows = shared.written(_split(large.select("path", "node").join(sketches, "node"), similarity, depth), "paths")
         else:
             leaves.append(_block_pairs(large.withColumn("blocks", F.ceil(F.col("size") * 2 / LEAF).cast("long")), "path").select(F.xxhash64("path", "lo", "hi").alias("path"), "node"))
     out = leaves[0]
     for x in leaves[1:]:
         out = out.unionByName(x)
-    return out
+    return out, links
 
 
 def _block_pairs(rows: DataFrame, *keys: str) -> DataFrame:
@@ -221,9 +256,10 @@ def _classified(docs: DataFrame, similarity: float, recall: float = RECALL) -> t
     nodes = shared.written(members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("text_hash").alias("text_hash"), F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash")).alias("first_row"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "nodes")
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = _buckets(nodes, runs_for(recall)).join(nodes.select("node", "sketch"), "node")
+    buckets, known_links = _buckets(nodes, runs_for(recall, run_finds(similarity)), similarity)
+    buckets = buckets.join(nodes.select("node", "sketch"), "node")
     links = buckets.repartition(n, "path").sortWithinPartitions("path").select("path", "node", "sketch").mapInArrow(compare_buckets, "a long, b long")
-    clusters = components(links)
+    clusters = components(links if known_links is None else links.unionByName(known_links))
 
     sizes = clusters.groupBy("label").agg(F.count("*").alias("size"))
     wanted = clusters.join(sizes, "label").join(nodes.drop("sketch"), "node").select("node", "text_hash", F.col("label").alias("cluster"), "copies", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))

@@ -386,8 +386,48 @@ def test_components_of_chains_and_stars(spark):
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 130)}
 
 
-def test_runs_grow_with_recall():
-    assert jaccard_join.runs_for(0.5) < jaccard_join.runs_for(0.99) < jaccard_join.runs_for(0.9999)
+def test_runs_grow_with_recall_and_depth():
+    finds = [jaccard_join.run_finds(0.8, k) for k in (1, 4, 7)]
+    assert finds[0] == pytest.approx(0.84) and finds[0] > finds[1] > finds[2] > 0.4
+    assert jaccard_join.runs_for(0.5, 0.4) < jaccard_join.runs_for(0.99, 0.4) < jaccard_join.runs_for(0.9999, 0.4)
+    r, lives = np.random.default_rng(1), 0
+    for _ in range(4000):  # a pair at the threshold, down a tree of seven splits
+        at = 1
+        for _ in range(7):
+            at = sum(r.random() < 0.8 for _ in range(at + r.binomial(at, 0.25)))
+        lives += at > 0
+    assert lives / 4000 == pytest.approx(finds[2], abs=0.03)
+
+
+@pytest.mark.parametrize("depth", [0, 2, 4, 6])
+def test_recall_at_each_depth(spark, monkeypatch, depth):
+    """Pairs of similarity 0.8, in buckets that are never small enough, meet in a run as often as the depth says."""
+    monkeypatch.setattr(jaccard_join, "DEPTH", depth)
+    monkeypatch.setattr(jaccard_join, "LEAF", 1)
+    r, runs, pairs = np.random.default_rng(depth), 4, 600
+    # Nodes 2k and 2k + 1 agree in each coordinate with probability 0.8; coordinates have few values, so that buckets hold many nodes.
+    a = r.integers(0, 4, (pairs, jaccard_join.COORDINATES))
+    b = np.where(r.random(a.shape) < 0.8, a, a + 4)
+    nodes = spark.createDataFrame([(2 * k + j, bytearray(x.astype(np.uint32).tobytes())) for k in range(pairs) for j, x in enumerate((a[k], b[k]))], "node long, sketch binary")
+    monkeypatch.setattr(jaccard_join, "NEAR", 2.0)  # no links on the way
+    rows, _ = jaccard_join._buckets(nodes, runs)
+    if depth < 6:  # the last split is compared in pairs of blocks, in which a bucket of two has both
+        met = rows.select("path", F.expr("node div 2").alias("pair")).groupBy("path", "pair").count().where("count > 1").select("pair").distinct().count()
+        want = 1 - (1 - jaccard_join.run_finds(0.8, 1 + depth)) ** runs
+        assert met / pairs > want - 0.06
+    else:
+        assert jaccard_join.runs_for(jaccard_join.RECALL, jaccard_join.run_finds()) == 16
+
+
+def test_joined_buckets_are_left_out(spark, monkeypatch):
+    """A group of near copies larger than a leaf is joined once and then compared no more, however many runs there are."""
+    monkeypatch.setattr(jaccard_join, "LEAF", 20)
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 32, jaccard_join.COORDINATES)
+    values = np.where(r.random((300, jaccard_join.COORDINATES)) < 0.95, base, r.integers(0, 1 << 32, (300, jaccard_join.COORDINATES)))
+    nodes = spark.createDataFrame([(k, bytearray(x.astype(np.uint32).tobytes())) for k, x in enumerate(values)], "node long, sketch binary")
+    rows, links = jaccard_join._buckets(nodes, 16)
+    assert rows.count() < 16 * 300 / 2 and {x.label for x in components.components(links).collect()} == {0}
 
 
 # ---- 6 chat
