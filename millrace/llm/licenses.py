@@ -1,17 +1,19 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
 A template is a set of words; a block meets it if it holds at least THRESHOLD of them. Words are ordered by the number
-of documents of the whole corpus that hold them, rarest first. A block that meets a template of n words must share a = ceil(THRESHOLD n) of
-them, hence one of the template's first n - a + 1 (prefix filter), hold a of the words of all templates itself (length
-filter), and have enough words left after a shared one in both orders (positional filter). What passes is compared in
-full. Blocks are windows of BLOCK words at steps of half that, which any passage of BLOCK / 2 words lies in. For
-templates of up to LINE_WORDS words they are the lines of a text and, as notices are wrapped, windows of twice the
-template's length at steps of its length, whatever line ends they hold. All templates that a block
-meets give labels, but one whose words are nearly those of another (Jaccard similarity ALIKE) gives way to that where
-the block holds a larger part of the other.
-
-Base phrases are found at all places of their words. Null texts are empty. Rows don't depend on each other, so repeated
-rows and ids, ties and other columns play no part.
+of documents of the whole corpus that hold them, rarest first. A block that meets a template of n words must share a =
+ceil(THRESHOLD n) of them, hence one of the template's first n - a + 1 (prefix filter), hold a of the words of all templates
+itself (length filter), and have enough words left after a shared one in both orders (positional filter). What passes is
+compared in full.
+
+Blocks are windows of words, whatever line ends they hold: for templates of up to SHORT_WORDS distinct words, of twice a
+template's length at steps of its length, and for longer ones, of BLOCK words, or twice the longest template's length if that
+is more, at steps of half that. So a template's words that stand together lie in a window. Short templates are also sought in
+single lines, whatever their length. All templates that a block meets give labels, but one whose words are nearly those of
+another (Jaccard similarity ALIKE) gives way to that where the block holds a larger part of the other.
+
+Base phrases are found at all places of their words. Null texts are empty; an empty table gives no rows. Rows don't depend on each
+other, so repeated rows and ids, ties and other columns play no part.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ TEMPLATES = [
     ("cc-by-nc", "this work is licensed under the creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-sa", "this work is licensed under the creative commons attribution sharealike 4 0 international license"),
 ]
-#: One-line notices of licenses that TEMPLATES know by a long text only. The SQL has TEMPLATES alone.
+#: Short notices of licenses that TEMPLATES know by a long text only.
 NOTICES = [
     ("gpl-3", "under the gnu general public license version 3"),
     ("bsd", "under the bsd license"),
@@ -46,14 +48,15 @@ NOTICES = [
 ]
 THRESHOLD = Fraction(9, 10)
 ALIKE = Fraction(8, 10)
-LINE_WORDS, BLOCK = 16, 200
+SHORT_WORDS, BLOCK = 16, 200
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same runs before A-Z are lower-cased, and what parts them.
+#: Characters of words before A-Z are lower-cased, and what parts words.
 ANY_CASE, APART = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    """The runs of WORD in lower case. Splitting takes time linear in the text; extracting all matches copies it for each."""
+    return F.array_remove(F.split(F.lower(text), APART), "")
 
 
 def _strings(values: list[str]) -> Column:
@@ -75,10 +78,11 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     needed = [ceil(threshold * len(s)) for _, s in sets]
     prefixes = [s[: len(s) - a + 1] for (_, s), a in zip(sets, needed)]
 
-    short = [k for k, (_, s) in enumerate(sets) if len(s) <= LINE_WORDS]
+    short = [k for k, (_, s) in enumerate(sets) if len(s) <= SHORT_WORDS]
     long = [k for k in range(len(sets)) if k not in short]
     of_length = {n: [k for k in short if len(templates[k][1].split()) == n] for n in sorted({len(templates[k][1].split()) for k in short})}
 
+    none = F.array().cast("array<struct<k:int,label:string,part:double>>")
     near = [[j for j, (_, u) in enumerate(sets) if len(set(s) & set(u)) >= ALIKE * len(set(s) | set(u))] for _, s in sets]
     alike = F.array(*[F.array(*map(F.lit, js)) for js in near])
 
@@ -100,10 +104,14 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
         return F.filter(found, lambda t: ~F.exists(found, lambda o: F.array_contains(F.element_at(alike, t["k"] + 1), o["k"]) & (o["part"] > t["part"])))
 
     def labels(blocks: Column, chosen: list[int]) -> Column:
+        if not chosen:
+            return none
         some = F.filter(blocks, lambda b: F.arrays_overlap(b, _strings(sorted({w for k in chosen for w in prefixes[k]}))))
         ordered = F.transform(some, lambda b: F.array_intersect(_strings(order), b))
         return F.flatten(F.transform(F.transform(ordered, lambda t: met(t, chosen)), best))
 
+    block = max(BLOCK, 2 * max((len(templates[k][1].split()) for k in long), default=0))
+
     def windows(length: int) -> Column:
         """Windows of this many words at steps of half that; the last one is shorter."""
         step = length // 2
@@ -114,8 +122,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     rows = docs.select("doc_id", text.alias("text")).withColumn("words", _words(F.col("text")))
     lines = F.transform(F.split("text", "\n"), _words)
     size = F.size("words")
-    none = F.array().cast("array<struct<k:int,label:string,part:double>>")
-    found = F.when(F.arrays_overlap("words", _strings(candidates)), F.concat(labels(lines, short), *[labels(windows(2 * n), chosen) for n, chosen in of_length.items()], labels(windows(BLOCK), long))).otherwise(none)
+    found = F.when(F.arrays_overlap("words", _strings(candidates)), F.concat(labels(lines, short), *[labels(windows(2 * n), chosen) for n, chosen in of_length.items()], labels(windows(block), long))).otherwise(none)
 
     phrase = {p: rf"(?i)(?<!{ANY_CASE}){APART.join(p.split())}(?!{ANY_CASE})" for p in BASE}
     every = "(?i)(?<!{0})(?:{1})(?!{0})".format(ANY_CASE, "|".join(APART.join(p.split()) for p in BASE))
@@ -123,7 +130,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     counts = F.when(maybe, F.regexp_count("text", F.lit(every))).otherwise(0)
     rows = rows.select("doc_id", "text", size.cast("long").alias("n_words"), found.alias("found"), counts.cast("long").alias("n_base"))
     has = F.col("n_base") > 0
-    before = lambda pattern: F.regexp_count(F.regexp_extract("text", pattern, 1), F.lit(ANY_CASE + "+")).cast("long")
+    before = lambda pattern: F.size(_words(F.regexp_extract("text", pattern, 1))).cast("long")
     base = F.when(has, F.filter(F.array(*[F.when(F.regexp_like("text", F.lit(phrase[p])), F.lit(label)) for p, label in BASE.items()]), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("base", base)
     return rows.select(
@@ -135,21 +142,25 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
 
 def _oracle() -> str:
     """Brute force in SQL: every template against every block."""
-    rows = ", ".join(f"({k}, '{label}', [{', '.join(repr(w) for w in sorted(set(t.split())))}])" for k, (label, t) in enumerate(TEMPLATES))
+    all_ = TEMPLATES + NOTICES
+    sets = [sorted(set(t.split())) for _, t in all_]
+    rows = ", ".join(f"({k}, '{label}', {len(sets[k]) <= SHORT_WORDS}, {len(t.split())}, [{', '.join(map(repr, sets[k]))}])" for k, (label, t) in enumerate(all_))
+    alike = ", ".join(f"({i}, {j})" for i, s in enumerate(sets) for j, t in enumerate(sets) if i != j and len(set(s) & set(t)) >= ALIKE * len(set(s) | set(t))) or "(-1, -1)"
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in BASE.items())
+    windows = "list_transform(range(1, greatest(len(words) - step, 1) + 1, step), lambda i: words[i : i + 2 * step - 1])"
     return rf"""
-    WITH t(k, label, words) AS (VALUES {rows}), p(phrase, label) AS (VALUES {phrases}),
+    WITH t(k, label, short, length, words) AS (VALUES {rows}), alike(i, j) AS (VALUES {alike}), p(phrase, label) AS (VALUES {phrases}),
     d AS (SELECT doc_id, coalesce(text, '') AS text, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
     w AS (SELECT doc_id, text, low, regexp_extract_all(low, '{WORD}') AS words FROM d),
-    b AS (SELECT doc_id, true AS short, unnest(list_transform(string_split(text, chr(10)), lambda x: regexp_extract_all(lower(x), '{WORD}'))) AS words FROM d
-          UNION ALL SELECT doc_id, false, unnest(CASE WHEN len(words) <= {BLOCK} THEN [words] ELSE list_transform(range(1, len(words) - {BLOCK // 2} + 1, {BLOCK // 2}), lambda i: words[i : i + {BLOCK - 1}]) END) FROM w),
-    m AS (SELECT doc_id, b.words, short, label, len(list_intersect(list_distinct(b.words), t.words)) AS shared, len(t.words) AS n FROM b JOIN t ON short = (len(t.words) <= {LINE_WORDS})
-          WHERE {THRESHOLD.denominator} * len(list_intersect(list_distinct(b.words), t.words)) >= {THRESHOLD.numerator} * len(t.words)),
-    best AS (SELECT * FROM m QUALIFY shared = max(shared) OVER (PARTITION BY doc_id, words, short)),
+    b AS (SELECT DISTINCT doc_id, true AS short, 0 AS step, unnest(list_transform(string_split(low, chr(10)), lambda x: regexp_extract_all(x, '{WORD}'))) AS words FROM w
+          UNION ALL SELECT doc_id, short, step, unnest({windows}) FROM w, (SELECT DISTINCT short, CASE WHEN short THEN length ELSE {max(BLOCK, 2 * max(len(t.split()) for _, t in all_)) // 2} END AS step FROM t)),
+    c AS (SELECT doc_id, b.words, b.short, b.step, k, label, len(list_intersect(list_distinct(b.words), t.words)) AS shared, len(t.words) AS n FROM b JOIN t ON b.short = t.short AND (step = 0 OR NOT t.short OR step = t.length)),
+    m AS (SELECT *, shared / n AS part FROM c WHERE {THRESHOLD.denominator} * shared >= {THRESHOLD.numerator} * n),
+    best AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o JOIN alike ON i = m.k AND j = o.k WHERE o.doc_id = m.doc_id AND o.words = m.words AND o.short = m.short AND o.step = m.step AND o.part > m.part)),
     x AS (SELECT doc_id, phrase, label, unnest(list_filter(range(1, len(words) + 1), lambda i: words[i : i + len(string_split(phrase, ' ')) - 1] = string_split(phrase, ' '))) - 1 AS place FROM w, p
           WHERE list_contains(words, string_split(phrase, ' ')[1])),
     xs AS (SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM x GROUP BY doc_id),
-    ms AS (SELECT doc_id, list(DISTINCT label) AS labels, max(shared / n) AS part FROM best GROUP BY doc_id)
+    ms AS (SELECT doc_id, list(DISTINCT label) AS labels, max(part) AS part FROM best GROUP BY doc_id)
     SELECT w.doc_id, len(w.words) AS n_words, coalesce(xs.n, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(xs.labels), ','), '') AS base_labels,
         coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(xs.labels, []), coalesce(ms.labels, [])))), ','), '') AS labels,
         CASE WHEN xs.n > 0 THEN 1.0::DOUBLE ELSE coalesce(part, 0.0)::DOUBLE END AS score

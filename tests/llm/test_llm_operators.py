@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -86,21 +87,30 @@ def test_license_scan_finds_templates_and_base_phrases(spark):
 
 
 def test_license_filters_lose_no_template(spark):
-    r, vocabulary = random.Random(4), sorted({w for _, t in licenses.TEMPLATES for w in t.split()})
+    every = licenses.TEMPLATES + licenses.NOTICES
+    r, vocabulary = random.Random(4), sorted({w for _, t in every for w in t.split()})
     rows = []
     for k in range(80):
-        label, t = r.choice(licenses.TEMPLATES)
+        label, t = r.choice(every)
         w = t.split()
         for _ in range(r.randint(0, max(1, len(w) // 8))):
             w[r.randrange(len(w))] = r.choice(vocabulary)
         rows.append((k, " ".join(w)))
     got = {x.doc_id: x for x in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [(label, set(t.split())) for label, t in every]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
     for k, text in rows:
-        part = [len(set(text.split()) & set(t.split())) / len(set(t.split())) for _, t in licenses.TEMPLATES]
-        short = [len(set(t.split())) <= licenses.LINE_WORDS for _, t in licenses.TEMPLATES]
-        best = {s: max((len(set(text.split()) & set(t.split())) for (_, t), p, q in zip(licenses.TEMPLATES, part, short) if p >= 0.9 and q == s), default=0) for s in (True, False)}
-        want = {label for (label, t), p, q in zip(licenses.TEMPLATES, part, short) if p >= 0.9 and len(set(text.split()) & set(t.split())) == best[q]}
+        met = [(label, s, len(set(text.split()) & s) / len(s)) for label, s in sets if len(set(text.split()) & s) >= 0.9 * len(s)]
+        want = {label for label, s, part in met if not any(near(s, t) and more > part for _, t, more in met)}
         assert want <= set(got[k].labels.split(",")), text
+        assert got[k].n_base or not met or got[k].score == pytest.approx(max(part for _, _, part in met))
+
+
+def test_license_blocks_hold_the_longest_template(spark):
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(["filler"] * 37 * k + words + ["filler"] * 20)) for k in range(12)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), [("own", " ".join(words))]).collect()
+    assert [r.labels for r in got] == ["own"] * 12 and {r.score for r in got} == {1.0}
 
 
 def test_license_scan_finds_short_notices(spark):
@@ -113,7 +123,7 @@ def test_license_scan_finds_short_notices(spark):
 def test_license_scan_finds_wrapped_notices(spark):
     r, rows, want = random.Random(8), [], []
     for k in range(60):
-        label, t = r.choice([x for x in licenses.TEMPLATES + licenses.NOTICES if len(set(x[1].split())) <= licenses.LINE_WORDS])
+        label, t = r.choice([x for x in licenses.TEMPLATES + licenses.NOTICES if len(set(x[1].split())) <= licenses.SHORT_WORDS])
         w = ["filler"] * r.randint(0, 40) + t.split() + ["filler"] * r.randint(0, 40)
         width = r.randint(1, 6)
         rows.append((k, "\n".join(" ".join(w[i : i + width]) for i in range(0, len(w), width))))
@@ -124,7 +134,7 @@ def test_license_scan_finds_wrapped_notices(spark):
 
 
 def test_license_scan_keeps_all_licenses_of_a_text(spark):
-    of = {label: t for label, t in licenses.TEMPLATES if len(set(t.split())) > licenses.LINE_WORDS}
+    of = {label: t for label, t in licenses.TEMPLATES if len(set(t.split())) > licenses.SHORT_WORDS}
     cc = {label: t for label, t in licenses.TEMPLATES if "creative" in t}
     rows = [(1, of["gpl-3"] + "\n" + of["mpl-2"]), (2, of["mit"] + "\n" + of["apache-2"]), (3, cc["cc-by-sa"]), (4, cc["cc-by-nc"]), (5, "released under the mit license or under the isc license")]
     got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -154,6 +164,34 @@ def test_knapsack_is_as_near_as_brute_force():
         assert (far <= counts * 1000).all() and abs(int((far * lengths).sum()) - budget * 1000) <= lengths.max()
 
 
+@pytest.mark.parametrize("span", [40, 400, 1 << 15])
+def test_fit_on_both_sides_of_the_span(span):
+    """Up to span words the fit is the best there is, whatever the lengths; beyond, it is off by less than the longest document."""
+    r = np.random.default_rng(span)
+    for _ in range(20):
+        lengths, counts = np.unique(r.integers(1, 90, 9)), None
+        counts = r.integers(1, 6, len(lengths))
+        total = int((lengths * counts).sum())
+        sums = np.zeros(total + 1, bool)
+        sums[0] = True
+        for length, n in zip(lengths.tolist(), counts.tolist()):
+            for _ in range(n):
+                sums[length:] |= sums[:-length].copy()
+        for budget in r.integers(0, total + 1, 8).tolist():
+            off = abs(int((mixing.fit(lengths, counts, budget, span) * lengths).sum()) - budget)
+            best = int(np.abs(np.flatnonzero(sums) - budget).min())
+            assert off == best if budget <= span else off <= lengths.max()
+
+
+def test_fit_with_a_very_long_text_is_small():
+    lengths, counts = np.append(np.arange(2, 3002, 2), 5_000_001), np.ones(1501, np.int64)
+    tracemalloc.start()
+    take = mixing.fit(lengths, counts, 20_001)
+    assert abs(int((take * lengths).sum()) - 20_001) == 1 and tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+    assert mixing.fit(np.array([5_000_001]), np.array([1]), 2_000_000).tolist() == [0] and mixing.fit(np.array([0, 5]), np.array([3, 1]), 5).tolist()[1] == 1
+
+
 def test_mix_meets_targets_on_whole_table(docs):
     rows = mixing.mix(docs).toPandas()
     size = {r.doc_id: len(WORD.findall(r.text or "")) for r in docs.collect()}
