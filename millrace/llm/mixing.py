@@ -43,7 +43,6 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
         left -= sum(cap[s] for s in full)
         free = [s for s in free if s not in out]
     return out
-    return out
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, span: int = SPAN) -> np.ndarray:
@@ -60,27 +59,34 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, span: int = SPAN)
         rest -= more * int(lengths[k])
     if rest <= 0:
         return take
-    # Bounded knapsack: bit w of `reach` says that w words can be made; counts are split into powers of two.
-    top = rest + int(lengths.max(initial=0))
-    mask, reach, steps = (1 << (top + 1)) - 1, 1, []
+    left = np.where(lengths > 0, counts - take, 0)
+    if int((left * lengths).sum()) <= rest:
+        return take + left
+    # Taken shortest first, the document that passes the rest is this long; so sums within half of it are the nearest ones.
+    passing = int(lengths[np.searchsorted(np.cumsum(left * lengths), rest, side="right")])
+    top = rest + passing // 2
+    # Bounded knapsack: bit w of `reach` says that w words can be made, `came` by which step first; counts are split into powers of two.
+    mask, reach, steps, came = (1 << (top + 1)) - 1, 1, [], np.full(top + 1, -1, np.int32)
     for k in np.argsort(-lengths, kind="stable").tolist():
         length = int(lengths[k])
-        n = min(int(counts[k] - take[k]), top // length) if length else 0
+        n = min(int(left[k]), top // length) if length else 0
         chunk = 1
-        while n > 0:
+        while n > 0 and not (reach >> rest) & 1:
             part = min(chunk, n)
-            steps.append((k, part, reach))
-            reach |= (reach << (part * length)) & mask
+            new = (reach << (part * length)) & mask & ~reach
+            if new:
+                reach |= new
+                came[np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(top // 8 + 1, "little"), np.uint8), bitorder="little"))] = len(steps)
+                steps.append((k, part))
             n, chunk = n - part, 2 * chunk
-        if (reach >> rest) & 1:
-            break
     below = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
     above = reach >> (rest + 1)
-    goal = rest + (above & -above).bit_length() if above and (above & -above).bit_length() < rest - below else below
-    for k, part, before in reversed(steps):
-        if not (before >> goal) & 1:
-            take[k] += part
-            goal -= part * int(lengths[k])
+    over = (above & -above).bit_length()
+    goal = rest + over if over and over < rest - below else below
+    while goal:  # what a sum is made from was there before its step, so no step comes twice
+        k, part = steps[came[goal]]
+        take[k] += part
+        goal -= part * int(lengths[k])
     return take
 
 
@@ -89,7 +95,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED, *
 
     The driver holds one row for each source, none for each document.
     """
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    size = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
     base = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.struct(F.lit(0), *also).alias("also"))
     base = base.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     return _mix(base, weights)
