@@ -49,7 +49,7 @@ def _mark(role: Column, end: int) -> Column:
 def chat_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conv_id, window (from 0), formatted, repeated (leading turns shown again) and targets (start and length in formatted, code points from 0)."""
     text, role = F.coalesce("text", F.lit("")), F.col("role")
-    cost = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) + TURN_COST
+    cost = F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")) + TURN_COST
     turns = conversations.select("conv_id", "turn", "role", text.alias("text"), cost.cast("long").alias("cost"), _mark(role, 0).alias("open"), escape(text).alias("body"), _mark(role, 1).alias("close"))
     upto = F.sum("cost").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0))
     turns = turns.withColumn("upto", upto)
