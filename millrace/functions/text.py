@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 # Character sets and rules that decide results.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 SPACE = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+# White space other than line breaks, and runs of it that aren't one plain space.
+_GAP = r"\t\x1F\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
+SPACES_BUT_PLAIN = r"\t-\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+UNEVEN_GAP = rf"[{_GAP} ]{{2,}}|[{_GAP}]"
 ALEF_FORMS, TATWEEL = "إأآٱ", "ـ"
 DIACRITICS = r"[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}]"
 DIGITS_FROM, DIGITS_TO = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"
 ARABIC = r"\x{0600}-\x{06FF}"
 TOKEN = rf"\*[0-9]+(?:\*[0-9]+)*#|[\p{{L}}\p{{N}}_{ARABIC}]+"
+NO_TOKEN, CODE = rf"[^\p{{L}}\p{{N}}_{ARABIC}]+", r"\*[0-9]+(?:\*[0-9]+)*#"
 FEMININE_SUFFIXES = ("تها", "تهم", "تكم", "تنا", "تي", "تك")
 POSSESSIVE_SUFFIXES = ("ها", "هم", "كم", "نا", "هن", "كن", "ي", "ك")
 UI_LINES = (
@@ -27,14 +33,14 @@ LINE_PATTERNS = (
     r"contact us", r"contact us (now|today).*", r"get in touch.*", r"need help.*", r"how can we help.*", r"we('re| are) here to help.*",
     r"(personal|business|corporate)", r"(products|services|offers|solutions)", r"(categories|category|topics)", r"(related links|useful links|quick links)", r"(more topics|more services)", r"(apps menu)",
 )
-DECORATIVE = rf"^(?:{SPACE}|[•◦▪▫●○■□◆◇★☆→←↑↓|/\\\-_=~*·])+$"
+DECORATIVE = rf"^[{SPACE[1:-1]}•◦▪▫●○■□◆◇★☆→←↑↓|/\\\-_=~*·]+$"
 NUMBER_ONLY = r"^[0-9]{1,4}[.)]?$"
 SHORT_LINE = 100
 
 
 def strip(x: Column) -> Column:
     """Without white space (any Unicode kind) at the ends."""
-    return F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def lines(x: Column) -> Column:
@@ -42,28 +48,58 @@ def lines(x: Column) -> Column:
     return F.split(F.coalesce(x, F.lit("")), LINE_BREAK)
 
 
+def even(x: Column) -> Column:
+    """Every run of white space as one plain space; only runs that aren't one yet are rewritten."""
+    return F.regexp_replace(x, rf"[{SPACES_BUT_PLAIN}]{SPACE}*| {SPACE}+", " ")
+
+
+def has_arabic(x: Column) -> Column:
+    return x.rlike(f"[{ARABIC}]")
+
+
 def normalize_arabic(x: Column) -> Column:
-    """One form of alef and haa, ASCII digits, no tatweel or diacritics; white space collapsed, blank lines dropped."""
-    x = F.translate(F.coalesce(x, F.lit("")), ALEF_FORMS, "ا" * len(ALEF_FORMS))
-    x = F.translate(x, "ة" + DIGITS_FROM + TATWEEL, "ه" + DIGITS_TO)
-    x = F.regexp_replace(x, DIACRITICS, "")
-    parts = F.transform(lines(x), lambda s: strip(F.regexp_replace(s, SPACE + "+", " ")))
-    return F.array_join(F.filter(parts, lambda s: s != ""), "\n")
+    """One form of alef and haa, ASCII digits, no tatweel or diacritics; white space collapsed, blank lines dropped.
+
+    All letters, digits and marks that change are in one block of Unicode, so texts without it skip these steps.
+    """
+    x = F.coalesce(x, F.lit(""))
+    y = F.translate(x, ALEF_FORMS + "ة" + DIGITS_FROM + TATWEEL, "ا" * len(ALEF_FORMS) + "ه" + DIGITS_TO)
+    x = F.when(has_arabic(x), F.regexp_replace(y, DIACRITICS, "")).otherwise(x)
+    # Gaps within lines become one space, then line breaks with all that surrounds them become one break.
+    x = F.regexp_replace(F.regexp_replace(x, UNEVEN_GAP, " "), rf" +(?={LINE_BREAK}|$)|(?:{LINE_BREAK})(?: |{LINE_BREAK})+|[\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]", "\n")
+    return F.btrim(F.regexp_replace(x, r"\n{2,}", "\n"), F.lit(" \n"))
 
 
 def normalize_line(x: Column) -> Column:
     """Plain spaces for no-break ones, no zero-width characters, runs of spaces and tabs collapsed, ends stripped."""
-    return strip(F.regexp_replace(F.translate(x, " ​﻿", " "), r"[ \t]+", " "))
+    return strip(_without_marks(x, "\u200b\ufeff"))
+
+
+def _without_marks(x: Column, dropped: str) -> Column:
+    x = F.replace(x, F.lit("\u00a0"), F.lit(" "))
+    for c in dropped:
+        x = F.replace(x, F.lit(c), F.lit(""))
+    return F.regexp_replace(x, r"\t[ \t]*| [ \t]+", " ")
+
+
+def normalized_lines(x: Column) -> Column:
+    """The normalised lines of a text that aren't empty. What needs no line ends is done to the whole text at once."""
+    return F.filter(F.transform(lines(_without_marks(F.coalesce(x, F.lit("")), "\u200b\ufeff")), strip), lambda line: line != "")
+
+
+def n_words(x: Column) -> Column:
+    """The number of runs of anything but spaces, tabs and line ends."""
+    return F.size(F.array_remove(F.split(x, r"[ \t\r\n]+"), ""))
 
 
 def key(x: Column) -> Column:
     """What lines are compared by: folded case, collapsed white space."""
-    return F.replace(F.lower(F.regexp_replace(strip(x), SPACE + "+", " ")), F.lit("ß"), F.lit("ss"))
+    return F.replace(F.lower(even(strip(x))), F.lit("ß"), F.lit("ss"))
 
 
-def is_boilerplate(line: Column) -> Column:
-    """User-interface, navigation, call-to-action, artifact, decorative and number-only lines."""
-    k = key(line)
+def is_boilerplate(line: Column, line_key: Column | None = None) -> Column:
+    """User-interface, navigation, call-to-action, artifact, decorative and number-only lines; line_key is key(line) where it is at hand."""
+    k = key(line) if line_key is None else line_key
     return k.isin(*UI_LINES, *ARTIFACT_LINES) | k.rlike("^(?:" + "|".join(LINE_PATTERNS) + ")$") | line.rlike(DECORATIVE) | line.rlike(NUMBER_ONLY)
 
 
@@ -79,14 +115,24 @@ def stem(token: Column) -> Column:
 
 
 def tokens(x: Column, stemmed: bool = True) -> Column:
-    """Lower-cased tokens: short codes as they are, else runs of word and Arabic characters."""
-    found = F.regexp_extract_all(F.lower(normalize_arabic(x)), F.lit(TOKEN), F.lit(0))
-    return F.transform(found, stem) if stemmed else found
+    """Lower-cased tokens: short codes as they are, else runs of word and Arabic characters.
+
+    Splitting takes time linear in the text, extracting all matches copies it for each; so only texts with a short code are extracted from.
+    """
+    x = F.lower(normalize_arabic(x))
+    split = F.array_remove(F.split(x, NO_TOKEN), "")
+    found = F.when(x.contains("*") & x.rlike(CODE), F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0))).otherwise(split)
+    return F.when(has_arabic(x), F.transform(found, stem)).otherwise(found) if stemmed else found
+
+
+def _count(x: Column, kind: str) -> Column:
+    """The number of characters of a class."""
+    return F.length(F.regexp_replace(x, f"[^{kind}]+", ""))
 
 
 def language(x: Column) -> Column:
     """ar where at least 0.3 of Arabic and Latin characters are Arabic, else en."""
-    arabic, latin = F.regexp_count(x, F.lit(f"[{ARABIC}]")), F.regexp_count(x, F.lit("[A-Za-z]"))
+    arabic, latin = F.when(has_arabic(x), _count(x, ARABIC)).otherwise(0), _count(x, "A-Za-z")
     return F.when(F.try_divide(arabic, arabic + latin) >= 0.3, "ar").otherwise("en")
 
 
@@ -100,13 +146,14 @@ FUNCTION_WORD = rf"(?i)\b({FUNCTION_WORDS})\b"
 def is_arabizi(x: Column) -> Column:
     """Arabic written in Latin letters: no Arabic letter, three Latin ones, a digit used as a letter or a function word."""
     x = F.coalesce(x, F.lit(""))
-    return ~x.rlike(ARABIC_LETTER) & (F.regexp_count(x, F.lit("[A-Za-z]")) >= 3) & (x.rlike(DIGIT_AS_LETTER) | x.rlike(FUNCTION_WORD))
+    return ~x.rlike(ARABIC_LETTER) & (_count(x, "A-Za-z") >= 3) & (x.rlike(DIGIT_AS_LETTER) | x.rlike(FUNCTION_WORD))
 
 
 def is_vague(x: Column) -> Column:
     """Shorter than three characters, without letters, or with a single distinct one."""
     x = F.coalesce(x, F.lit(""))
-    return (F.length(x) < 3) | (F.size(F.array_distinct(F.regexp_extract_all(x, F.lit(r"\p{L}"), F.lit(0)))) <= 1)
+    letters = F.regexp_replace(x, r"\P{L}+", "")
+    return (F.length(x) < 3) | (F.replace(letters, F.left(letters, F.lit(1)), F.lit("")) == "")
 
 
 # ---- the same in DuckDB, for oracles

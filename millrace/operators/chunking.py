@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -58,16 +58,16 @@ def is_heading(line: Column, before: Column, after: Column, language: Column) ->
 
 
 def structure(docs: DataFrame) -> DataFrame:
-    """(doc_id, chunk_index, text) of docs (doc_id, text, language): a new chunk begins at each question or heading."""
-    rows = docs.select("doc_id", "language", F.posexplode(T.lines(F.col("text"))).alias("pos", "line")).withColumn("line", T.strip(F.col("line"))).where("line <> ''")
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    rows = rows.withColumns({"before": F.lag("line").over(order), "after": F.lead("line").over(order)})
-    line, language = F.col("line"), F.col("language")
-    rows = rows.withColumn("split", (is_question(line, language) | is_heading(line, F.col("before"), F.col("after"), language)).cast("int"))
+    """(doc_id, chunk_index, text) of docs (doc_id, text, language): a new chunk begins at each question or heading. A document's lines stay in its row."""
+    stripped = F.filter(F.transform(T.lines(F.col("text")), T.strip), lambda x: x != "")
+    rows = docs.select("doc_id", "language", stripped.alias("lines")).where(F.size("lines") > 0)
+    language = F.col("language")
+    splits = lambda x, k: is_question(x, language) | is_heading(x, F.get("lines", k - 1), F.get("lines", k + 1), language)
     # The first line opens chunk 0 whether it splits or not.
-    rows = rows.withColumn("split", F.when(F.col("before").isNull(), 0).otherwise(F.col("split"))).withColumn("chunk_index", F.sum("split").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    chunks = rows.groupBy("doc_id", "chunk_index").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l"))
-    return chunks.select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), F.array_join("l.line", "\n").alias("text"))
+    flags = F.transform("lines", lambda x, k: (k == 0) | splits(x, k))
+    rows = rows.withColumn("starts", F.filter(F.transform(flags, lambda f, k: F.when(f, k)), lambda k: k.isNotNull()))
+    text = lambda first, j: F.array_join(F.slice("lines", first + 1, F.coalesce(F.get("starts", j + 1), F.size("lines")) - first), "\n")
+    return rows.select("doc_id", F.posexplode(F.transform("starts", text)).alias("chunk_index", "text"))
 
 
 def chunks(docs: DataFrame, strategy: str, **options: int) -> DataFrame:

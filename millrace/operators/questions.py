@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import guards as G
 from ..functions import text as T
+from . import lines as L
 
 # Patterns and word lists.
 EXACT_VALUE = r"\*[0-9]+#|دينار|JOD|\b(?:fee|fees)\b|رسوم|limit|الحد\b|حد\s"
@@ -120,6 +121,19 @@ def merge_wrapped(lines: Column) -> Column:
     return F.aggregate(lines, start, step, lambda a: F.when(a["empty"], a["done"]).otherwise(F.array_append(a["done"], a["last"])))
 
 
+def page_texts(rows: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """rows (…, blocks) with text, status and reject_reason in place of their raw blocks of (page, block, text): the whole line path of a paged document.
+
+    A document without a usable block, or of which nothing is left, is rejected. Names in `also` count as user-interface and navigation lines.
+    """
+    rows = L.page_lines(rows, also)
+    rows = L.settled(rows.withColumn("lines", F.flatten(F.transform("lines", split_heading))), "lines")
+    rows = L.without_consecutive_page_lines(rows)
+    rows = L.settled(rows.withColumn("text", T.strip(F.array_join(merge_wrapped(F.col("lines")), "\n"))), "text")
+    reason = F.when(~F.col("has_blocks"), "no usable text layer").when(F.col("text") == "", "no text")
+    return rows.withColumns({"reject_reason": reason, "status": F.when(reason.isNull(), "ok").otherwise("rejected")}).drop("lines", "has_blocks")
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff and Obershelp's similarity; null without a twin."""
@@ -127,8 +141,8 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def twin_check(pdfs: DataFrame, pages: DataFrame, least: float = 0.5) -> DataFrame:
-    """pdfs (stem, text) with ratio to the page of the same stem and status; without a twin they pass."""
-    rows = pdfs.join(pages.select("stem", F.col("text").alias("twin")), "stem", "left").withColumn("ratio", sequence_ratio("text", "twin"))
+    """pdfs (folder, stem, text) with ratio to the page of the same folder and stem and status; without a twin they pass."""
+    rows = pdfs.join(pages.select("folder", "stem", F.col("text").alias("twin")), ["folder", "stem"], "left").withColumn("ratio", sequence_ratio("text", "twin"))
     return rows.drop("twin").withColumn("status", F.when(F.col("ratio") < least, "rejected").otherwise("ok"))
 
 

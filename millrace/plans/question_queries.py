@@ -89,8 +89,8 @@ def split_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def twin_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as texts, and their reverses or themselves as twins."""
-    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("stem"), "turn", "text")
-    twins = rows.where("turn % 3 <> 2").select("stem", F.when(F.col("turn") % 3 == 0, F.reverse("text")).otherwise(F.col("text")).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("folder"), F.concat_ws("-", "conv_id", "turn").alias("stem"), "turn", "text")
+    twins = rows.where("turn % 3 <> 2").select("folder", "stem", F.when(F.col("turn") % 3 == 0, F.reverse("text")).otherwise(F.col("text")).alias("text"))
     return Q.twin_check(rows.drop("turn"), twins).select("stem", F.round("ratio", 6).alias("ratio"), "status")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import lines as L
+from ..operators import questions as Q
 from ..sources import corpus, html
 from ..sources.tables import SQL_ARABIC, arabic, spread, table
 from .registry import query
@@ -45,23 +46,23 @@ _LINES = f"(SELECT doc_id, pos, {T.sql_normalize_line('line')} AS line FROM (SEL
 _JOINED = "SELECT doc_id, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM"
 
 
-def _digest(lines: DataFrame) -> DataFrame:
-    return L.joined(lines).select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.md5("text").alias("digest"))
+def _digest(rows: DataFrame) -> DataFrame:
+    return rows.where(F.size("lines") > 0).select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("digest"))
 
 
 @query(f"{_JOINED} (SELECT *, lag({T.sql_key('line')}) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM {_LINES}) WHERE before IS DISTINCT FROM {T.sql_key('line')} GROUP BY doc_id")
 def dedupe_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest(L.without_consecutive(L.exploded(_docs(spark, sf_dir))))
+    return _digest(L.without_consecutive(L.with_lines(_docs(spark, sf_dir))))
 
 
 @query(f"{_JOINED} (SELECT *, length(line) <= 100 AS short, row_number() OVER (PARTITION BY doc_id, length(line) <= 100, {T.sql_key('line')} ORDER BY pos) AS n FROM {_LINES}) WHERE NOT short OR n = 1 GROUP BY doc_id")
 def dedupe_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest(L.without_repeated_short(L.exploded(_docs(spark, sf_dir))))
+    return _digest(L.without_repeated_short(L.with_lines(_docs(spark, sf_dir))))
 
 
 @query(f"{_JOINED} (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS n FROM {_LINES}) WHERE n = 1 GROUP BY doc_id")
 def dedupe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest(L.first_of_each(L.exploded(_docs(spark, sf_dir))))
+    return _digest(L.first_of_each(L.with_lines(_docs(spark, sf_dir))))
 
 
 @query(f"""
@@ -156,24 +157,60 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", corpus.doc_id(path, F.encode("text", "UTF-8")).alias("file_id"), chunk.alias("chunk_id"), corpus.point_id(chunk).alias("point_id"))
 
 
-_BLOCKS = rf"(SELECT * FROM (SELECT doc_id, ((i - 1) // 32)::INT AS page, ((i - 1) // 8)::INT AS block, i - 1 AS pos, trim(l) AS line FROM (SELECT doc_id, generate_subscripts({T.sql_lines('text')}, 1) AS i, unnest({T.sql_lines('text')}) AS l FROM documents)) WHERE line <> '' AND NOT regexp_matches(line, '{L.BLOCK_NOISE}') AND NOT regexp_matches(line, '{T.DECORATIVE}') AND lower(line) NOT IN ({T.sql_list(T.UI_LINES)}))"
+def _sql_page_line(x: str) -> str:
+    return T.sql_strip(rf"regexp_replace(replace(replace(replace(replace(replace({x}, chr(160), ' '), chr(8203), ''), chr(8204), ''), chr(8205), ''), chr(65279), ''), '[ \t]+', ' ', 'g')")
 
 
-@query(rf"""
-    SELECT doc_id, page, block, n_lines, n_lines >= 5 AND longest < 15 AND (nav >= 2 OR (short >= 0.85 * n_lines AND bullets >= 0.15 * n_lines) OR short >= 0.9 * n_lines) AS is_nav
-    FROM (SELECT doc_id, page, block, count(*) AS n_lines, max(w) AS longest, count_if(lower(line) IN ({T.sql_list(L.NAV_LINES)})) AS nav, count_if(w <= 6) AS short, count_if(regexp_matches(line, '{L.BULLET}')) AS bullets
-          FROM (SELECT *, len(regexp_extract_all(line, '[^ \t\r\n]+')) AS w FROM {_BLOCKS}) GROUP BY doc_id, page, block)
-""")
+def _sql_page_key(x: str) -> str:
+    return T.sql_strip(f"regexp_replace(regexp_replace(replace(lower({_sql_page_line(x)}), 'ß', 'ss'), '{T.SPACE}+', ' ', 'g'), '{L.LEADING_BULLETS}', '')")
+
+
+_NOISE = f"""(line = '' OR regexp_matches(line, '{T.DECORATIVE}') OR regexp_matches(line, '{L.PAGE_NUMBERS[0]}') OR regexp_matches(line, '{L.PAGE_NUMBERS[1]}') OR low IN ({T.sql_list(L.PAGE_UI)}) OR regexp_matches(low, '{L.PAGE_UI_STARTS}')
+    OR regexp_replace(low, '{T.SPACE}+', '', 'g') IN ({T.sql_list(L.LANGUAGE_CONTROLS)}) OR regexp_matches(line, '{L.BREADCRUMB}') OR low IN ({T.sql_list(L.CALLS_TO_ACTION)}))"""
+#: Lines of blocks in which the words of some lines stand for page furniture, as the tables have none.
+_FURNITURE = "replace(replace(replace(text, 'The ', '- '), 'and ', 'Home' || chr(10)), 'es ', '12.' || chr(10))"
+_BLOCKS = f"""(SELECT * FROM (SELECT *, {T.sql_strip('lower(line)')} AS low FROM (SELECT doc_id, ((i - 1) // 32)::INT AS page, ((i - 1) // 8)::INT AS block, i AS pos, {_sql_page_line('l')} AS line
+    FROM (SELECT doc_id, generate_subscripts({T.sql_lines('t')}, 1) AS i, unnest({T.sql_lines('t')}) AS l FROM (SELECT doc_id, {_FURNITURE} AS t FROM documents)))) WHERE NOT {_NOISE})"""
+_NAV = f"""(SELECT doc_id, page, block, n_lines, n_lines >= 5 AND longest < 15 AND (nav >= 2 OR (short >= 0.85 * n_lines AND bullets >= 0.15 * n_lines) OR short >= 0.9 * n_lines) AS is_nav
+    FROM (SELECT doc_id, page, block, count(*) AS n_lines, max(w) AS longest, count_if(low IN ({T.sql_list(L.NAV_LINES)})) AS nav, count_if(w <= 6) AS short, count_if(regexp_matches(line, '{L.BULLET}')) AS bullets
+          FROM (SELECT *, len(list_filter(regexp_split_to_array(line, '{T.SPACE}+'), lambda x: x <> '')) AS w FROM {_BLOCKS}) GROUP BY doc_id, page, block))"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.replace(F.replace(F.replace("text", F.lit("The "), F.lit("- ")), F.lit("and "), F.lit("Home\n")), F.lit("es "), F.lit("12.\n"))
+    return L.paged(_docs(spark, sf_dir).select("doc_id", text.alias("text")))
+
+
+@query(f"SELECT * FROM {_NAV}")
 def nav_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.nav_blocks(L.clean_block_lines(L.blocks(_docs(spark, sf_dir))))
+    return L.nav_blocks(L.with_clean_blocks(_pages(spark, sf_dir)))
+
+
+_KEYS = f"(SELECT doc_id, page, block, {_sql_page_key('text')} AS block_key FROM (SELECT doc_id, page, block, string_agg(line, ' ' ORDER BY pos) AS text FROM {_BLOCKS} GROUP BY doc_id, page, block))"
+_REPEATED = f"SELECT doc_id, block_key, count(DISTINCT page) AS n_pages FROM %s WHERE block_key <> '' AND len(string_split(block_key, ' ')) <= {L.MOST_WORDS} GROUP BY doc_id, block_key HAVING count(DISTINCT page) >= 2"
+
+
+@query(_REPEATED % _KEYS)
+def repeated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.repeated_blocks(L.with_clean_blocks(_pages(spark, sf_dir)))
 
 
 @query(f"""
-    WITH b AS (SELECT doc_id, page, block, string_agg(line, ' ' ORDER BY pos) AS text FROM {_BLOCKS} GROUP BY doc_id, page, block), k AS (SELECT doc_id, page, {T.sql_key('text')} AS block_key FROM b)
-    SELECT doc_id, block_key, count(DISTINCT page) AS n_pages FROM k WHERE block_key <> '' AND len(regexp_extract_all(block_key, '[^ ]+')) <= 40 GROUP BY doc_id, block_key HAVING count(DISTINCT page) >= 2
+    WITH k AS MATERIALIZED (SELECT k.* FROM {_KEYS} k JOIN {_NAV} n USING (doc_id, page, block) WHERE NOT is_nav), r AS ({_REPEATED % 'k'}),
+    l AS (SELECT b.* FROM {_BLOCKS} b JOIN k USING (doc_id, page, block) WHERE (doc_id, block_key) NOT IN (SELECT doc_id, block_key FROM r) AND low NOT IN ({T.sql_list(L.NAV_LINES)})),
+    c AS (SELECT * FROM (SELECT *, lag(key) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM (SELECT *, {_sql_page_key('line')} AS key FROM l) WHERE key <> '') WHERE before IS DISTINCT FROM key)
+    SELECT doc_id, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM c GROUP BY doc_id
 """)
-def repeated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.repeated_blocks(L.clean_block_lines(L.blocks(_docs(spark, sf_dir))))
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line path of paged documents up to its removal of consecutive repeats."""
+    return _digest(L.without_consecutive_page_lines(L.page_lines(_pages(spark, sf_dir))))
+
+
+@query()
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole line path: headings split, wrapped lines merged. Tests compare it with plain Python."""
+    rows = Q.page_texts(_pages(spark, sf_dir))
+    return rows.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), "status", "reject_reason")
 
 
 @query()

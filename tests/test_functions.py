@@ -1,5 +1,8 @@
 """Literal cases of scalar functions."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +20,24 @@ def test_normalize_arabic(spark, text, want):
     assert values(spark, [(text,)], "x string", T.normalize_arabic(F.col("x"))) == [(want,)]
 
 
+def test_white_space_agrees_with_plain_python(spark):
+    r = random.Random(5)
+    pieces = ["a", "b", " ", "  ", "\t", "\n", "\r", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "ة", "ً", "*1#", "١", "é", "_"]
+    made = ["".join(r.choice(pieces) for _ in range(r.randint(0, 14))) for _ in range(1500)]
+    arabic = str.maketrans("ة١", "ه1", "ً")
+    columns = {"n": T.normalize_arabic(F.col("x")), "l": T.normalized_lines(F.col("x")), "k": T.key(F.col("x")), "one": T.normalize_line(F.col("x")), "t": T.tokens(F.col("x"), False)}
+    rows = spark.createDataFrame(list(enumerate(made)), "id int, x string").select("id", *[c.alias(k) for k, c in columns.items()]).collect()
+
+    def line(x):
+        return re.sub("[ \t]+", " ", x.replace("\xa0", " ").replace("\u200b", "")).strip()
+
+    for row in rows:
+        x = made[row.id]
+        assert row.n == "\n".join(y for p in x.translate(arabic).splitlines() if (y := " ".join(p.split()))), repr(x)
+        assert row.l == [y for p in x.splitlines() if (y := line(p))] and row.one == line(x) and row.k == " ".join(x.split()).lower(), repr(x)
+        assert row.t == re.findall(r"\*[0-9]+(?:\*[0-9]+)*#|[\w\u0600-\u06FF]+", row.n.lower()), repr(x)
+
+
 def test_tokens_keep_short_codes_and_stem(spark):
     cases = [("Dial *١٢٣*4# now!", ["dial", "*123*4#", "now"]), ("محفظتي المحفظة محفظه", ["محفظه"] * 3), ("ال", ["ال"]), ("", []), (None, [])]
     got = values(spark, [(k, a) for k, (a, _) in enumerate(cases)], "k int, x string", "k", T.tokens(F.col("x")))

@@ -3,13 +3,18 @@
 import io
 import math
 import random
+import re
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
+from millrace.operators import chunking as C
 from millrace.operators import evaluation as E
 from millrace.operators import lines as L
+from millrace.operators import questions as Q
 from millrace.operators import retrieval as R
 from millrace.sources import corpus, html
 from millrace.streaming import updates
@@ -48,12 +53,84 @@ def test_rrf_ties_go_to_what_was_seen_first(spark):
 
 
 def test_line_operators(spark):
-    lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(["A", "a", "b", "A", "x" * 101, "x" * 101, "b"])], "doc_id long, pos int, line string")
-    read = lambda df: [r.line for r in df.orderBy("pos").collect()]
-    assert read(L.without_consecutive(lines)) == ["A", "b", "A", "x" * 101, "b"]
-    assert read(L.without_repeated_short(lines)) == ["A", "b", "x" * 101, "x" * 101]
-    assert read(L.first_of_each(lines)) == ["A", "a", "b", "x" * 101]
-    assert read(L.first_of_each(L.first_of_each(lines))) == read(L.first_of_each(lines))
+    rows = spark.createDataFrame([(1, ["A", "a", "b", "A", "x" * 101, "x" * 101, "b"]), (2, [])], "doc_id long, lines array<string>")
+    read = lambda df: {r.doc_id: r.lines for r in df.collect()}
+    assert read(L.without_consecutive(rows)) == {1: ["A", "b", "A", "x" * 101, "b"], 2: []}
+    assert read(L.without_repeated_short(rows)) == {1: ["A", "b", "x" * 101, "x" * 101], 2: []}
+    assert read(L.first_of_each(rows)) == {1: ["A", "a", "b", "x" * 101], 2: []}
+    assert read(L.first_of_each(L.first_of_each(rows))) == read(L.first_of_each(rows))
+
+
+def test_line_operators_shuffle_nothing(spark):
+    docs = spark.createDataFrame([(1, "a\nb\na", "en"), (1, None, "en"), (2, "", "ar")], "doc_id long, text string, language string")
+    for made in (L.cleaned(docs), L.nav_blocks(L.with_clean_blocks(L.paged(docs))), L.repeated_blocks(L.with_clean_blocks(L.paged(docs))), C.structure(docs), Q.page_texts(L.paged(docs))):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.text, r.status) for r in L.cleaned(docs).collect()) == [(1, "", "rejected"), (1, "a\nb", "ok"), (2, "", "rejected")]
+
+
+def test_long_documents_take_linear_time(spark):
+    text = "\n".join(f"line {k % 3000} of a document, this is" for k in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    assert L.cleaned(docs).first().n_lines == 3000 and docs.select(F.size(T.tokens(F.col("text")))).first()[0] == 20_000 * 7
+    assert time.perf_counter() - began < 20
+
+
+WORDS = ["the", "Red", "fish", "swims", "and", "Home", "*12#", "x,", "end.", "https://a.b", "• item", "with", "In", "why?", "A", "Data offer", "You can", "benefit", "12", "–"]
+
+
+def python_continues(before, line):
+    """Whether a line goes on with the one before it, by plain rules in the order that they are stated."""
+    if not before or not line:
+        return False
+    if any(x.startswith(("•", "◦", "▪", "▫", "●", "○", "■", "□", "- ")) or re.search(r"\*[0-9]+(\*[0-9]+)*#|https?://", x) for x in (before, line)) or before[-1] in ".?!:":
+        return False
+    words, open_ = before.split(), before[-1] in ",;–-"
+    if len(words) <= 8 and len(before) <= 60 and not open_ and words[-1].lower() not in Q.DANGLING:
+        return False
+    return open_ or line[0].islower() or line.split()[0].lower() in Q.CONTINUING
+
+
+def python_merge(lines):
+    out = []
+    for line in lines:
+        if out and python_continues(out[-1], line):
+            out[-1] = out[-1].rstrip() + " " + line.lstrip()
+        else:
+            out.append(line)
+    return out
+
+
+def python_split(line):
+    for start in Q.CONTENT_STARTS:
+        m = re.match(rf"(?i)^(.{{3,60}}?)\s+({start}\b.+)$", line)
+        if m and len(m[1].split()) <= 8 and len(m[2].split()) >= 3:
+            return [m[1].strip(), m[2].strip()]
+    m = re.match(Q.GENERAL_HEADING, line)
+    if m and len(m[1].split()) <= 6 and m[1].strip()[-1] not in ".?!:,;":
+        return [m[1].strip(), m[2].strip()]
+    return [line]
+
+
+def test_headings_and_wrapped_lines_agree_with_plain_python(spark):
+    r = random.Random(3)
+    made = [[" ".join(r.choice(WORDS) for _ in range(r.randint(1, 14))) for _ in range(r.randint(0, 9))] for _ in range(400)]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(made)], "id int, lines array<string>")
+    got = {x.id: (x.m, x.s) for x in rows.select("id", Q.merge_wrapped(F.col("lines")).alias("m"), F.transform("lines", Q.split_heading).alias("s")).collect()}
+    for k, lines in enumerate(made):
+        assert got[k] == (python_merge(lines), [python_split(x) for x in lines]), lines
+    assert sum(len(x) < len(y) for (x, _), y in zip(got.values(), made)) > 30 and sum(len(p) == 2 for _, s in got.values() for p in s) > 30
+
+
+def test_page_texts(spark):
+    pages = [
+        (1, 0, 0, "Skip to main content\nEnglish العربية\nPage 3\n7.\n1. Home\nREAD more"), (1, 0, 1, "All offers of this month\nare here"), (1, 0, 2, "Personal\nBusiness\nOffers\na\nb"), (1, 0, 3, "• All Offers  of this month are here"),
+        (1, 1, 0, "• all offers of this month are here"), (1, 1, 1, "Prices\u200c\n\nThe price of this very long and wide offer that is for all and\nstays so.\nstays SO.\nBalance"), (2, 0, 0, "12\n• ◦"),
+    ]
+    blocks = spark.createDataFrame(pages, "doc_id long, page int, block int, text string")
+    got = {r.doc_id: (r.text, r.status, r.reject_reason) for r in Q.page_texts(L.collected(blocks, "doc_id")).collect()}
+    assert got[1] == ("Prices\nThe price of this very long and wide offer that is for all and stays so.", "ok", None)
+    assert got[2] == ("", "rejected", "no usable text layer")
 
 
 def test_nearest_rank_is_half_even(spark):
