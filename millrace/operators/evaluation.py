@@ -28,14 +28,120 @@ def metric_means(metrics: DataFrame, *keys: str, ks: tuple[int, ...] = KS) -> Da
     return metrics.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), *means)
 
 
+def id_list(x: Column) -> Column:
+    """The ids of a list with commas; null and blank have none."""
+    parts = F.transform(F.split(F.coalesce(x, F.lit("")), ","), lambda p: F.trim(p))
+    return F.filter(parts, lambda p: p != "")
+
+
+def gold_texts(items: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, gold_id, text): the texts of the chunks (chunk_id, text) that items (id, chunk_ids with commas) name; ids without a chunk are left out."""
+    named = items.select("id", F.explode(id_list(F.col("chunk_ids"))).alias("gold_id"))
+    return named.join(chunks.select(F.col("chunk_id").alias("gold_id"), "text"), "gold_id").select("id", "gold_id", "text")
+
+
+def coverage_ranks(gold: DataFrame, retrieved: DataFrame, share: float = 0.8) -> DataFrame:
+    """(id, gold_id, coverage_rank) for each of gold (id, gold_id, tokens): the first rank at which the tokens of retrieved (id, rank, tokens) up to it hold `share` of its distinct tokens; null if none does, or it has none."""
+    need = gold.select("id", "gold_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    total = need.groupBy("id", "gold_id").agg(F.count("*").alias("n"))
+    first = retrieved.select("id", F.explode(F.array_distinct("tokens")).alias("token"), "rank").groupBy("id", "token").agg(F.min("rank").alias("rank"))
+    ranks = need.join(first, ["id", "token"]).groupBy("id", "gold_id", "rank").agg(F.count("*").alias("here"))
+    ranks = ranks.withColumn("upto", F.sum("here").over(Window.partitionBy("id", "gold_id").orderBy("rank")))
+    met = ranks.join(total, ["id", "gold_id"]).where(F.col("upto") / F.col("n") >= share).groupBy("id", "gold_id").agg(F.min("rank").alias("coverage_rank"))
+    return gold.select("id", "gold_id").distinct().join(met, ["id", "gold_id"], "left")
+
+
+def coverage_scores(ranks: DataFrame, k: int = 5) -> DataFrame:
+    """(id, hit, recall, reciprocal_rank) from coverage_ranks: whether any gold is covered by rank k, the share that is, and the reciprocal of the rank at which the first is; 0 without."""
+    covered = F.coalesce(F.col("coverage_rank") <= k, F.lit(False))
+    return ranks.groupBy("id").agg(F.max(covered.cast("int")).alias("hit"), F.avg(covered.cast("double")).alias("recall"), F.coalesce(1.0 / F.min("coverage_rank"), F.lit(0.0)).alias("reciprocal_rank"))
+
+
 def coverage_rank(gold: DataFrame, retrieved: DataFrame, share: float = 0.8) -> DataFrame:
-    """(id, coverage_rank): the first rank at which the tokens of retrieved (id, rank, tokens) up to it hold `share` of the distinct tokens of gold (id, tokens); null if none does."""
-    need = gold.select("id", F.explode(F.array_distinct("tokens")).alias("token"))
-    total = need.groupBy("id").agg(F.count("*").alias("n"))
-    first = retrieved.select("id", "rank", F.explode(F.array_distinct("tokens")).alias("token")).join(need, ["id", "token"]).groupBy("id", "token").agg(F.min("rank").alias("rank"))
-    ranks = first.groupBy("id", "rank").agg(F.count("*").alias("here")).withColumn("upto", F.sum("here").over(Window.partitionBy("id").orderBy("rank")))
-    met = ranks.join(total, "id").where(F.col("upto") / F.col("n") >= share).groupBy("id").agg(F.min("rank").alias("coverage_rank"))
-    return gold.select("id").join(met, "id", "left")
+    """(id, coverage_rank): the least rank at which one of an item's golds (id, tokens) is covered; null if none is."""
+    each = coverage_ranks(gold.select("id", "tokens", F.xxhash64("tokens").alias("gold_id")), retrieved, share)
+    return each.groupBy("id").agg(F.min("coverage_rank").alias("coverage_rank"))
+
+
+# Actions that count as refusals, of answers that are judged and of experiments.
+JUDGED_REFUSALS = ("out_of_domain", "ambiguous", "no_info")
+REFUSALS = (*JUDGED_REFUSALS, "needs_account_data")
+STAGES = ("normalize", "vector", "keyword", "guardrail", "ttft", "generation")
+FAITHFUL = 0.8
+
+
+def correctly_refused(action: Column, actions: tuple[str, ...] = REFUSALS) -> Column:
+    return F.coalesce(action.isin(*actions), F.lit(False))
+
+
+def judge_means(scores: DataFrame, checks: tuple[str, ...], *keys: str) -> DataFrame:
+    """n and the mean of each check by keys; nulls are left out, and a mean of none is null."""
+    return scores.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in checks])
+
+
+def refusal_counts(records: DataFrame, *keys: str, actions: tuple[str, ...] = JUDGED_REFUSALS) -> DataFrame:
+    """n and correctly_refused by keys, of records (…, action) that should be refused."""
+    return records.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(correctly_refused(F.col("action"), actions)).alias("correctly_refused"))
+
+
+def experiment_summary(records: DataFrame, price_in: float | None = None, price_out: float | None = None) -> DataFrame:
+    """One row a language of records (language, type, action, answered, hit, recall, reciprocal_rank, faithfulness, total, prompt, completion, context, and a column for each of STAGES).
+
+    Items of type should_refuse count for refusals and latency alone. Means are to four places, percentiles (nearest rank) to one.
+    """
+    asked, refuse = F.col("type") != "should_refuse", F.col("type") == "should_refuse"
+    answered = asked & F.coalesce(F.col("answered"), F.lit(False))
+    mean = lambda c, test=None: F.round(F.avg(F.when(test, F.col(c)) if test is not None else F.col(c)), 4)
+    faith = F.when(answered, F.col("faithfulness"))
+    rows = records.groupBy("language").agg(
+        F.count("*").alias("n_items"), *[mean(c, asked).alias(c) for c in ("hit", "recall", "reciprocal_rank")], F.round(F.avg(faith), 4).alias("faithfulness"),
+        F.round(F.try_divide(F.count_if(faith < FAITHFUL), F.count(faith)), 4).alias("hallucination_rate"), F.format_string("%d/%d", F.count_if(answered), F.count_if(asked)).alias("answered"),
+        F.format_string("%d/%d", F.count_if(refuse & correctly_refused(F.col("action"))), F.count_if(refuse)).alias("refused"), *[mean(c).alias(f"{c}_ms") for c in STAGES],
+        mean("prompt").alias("prompt_tokens"), mean("completion").alias("completion_tokens"), mean("context", answered).alias("context_tokens"),
+    )
+    cost = F.round((F.col("prompt_tokens") * price_in + F.col("completion_tokens") * price_out) / 1e6, 6) if price_in is not None and price_out is not None else F.lit(None).cast("double")
+    times = nearest_rank(records, "total", (50, 95), "language").select("language", F.round("p50", 1).alias("p50"), F.round("p95", 1).alias("p95"))
+    return rows.withColumn("cost", cost).join(times, "language", "left")
+
+
+def accuracy(rows: DataFrame, correct: Column, *keys: str) -> DataFrame:
+    """n, n_correct and their share by keys; a null counts as wrong."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.coalesce(correct, F.lit(False))).alias("n_correct")).withColumn("accuracy", F.col("n_correct") / F.col("n"))
+
+
+def throughput(items: Column, seconds: Column) -> Column:
+    """Items a second to two places; null where no time passed."""
+    return F.round(F.try_divide(items, seconds), 2)
+
+
+def survival(answers: DataFrame, chunks: DataFrame) -> DataFrame:
+    """answers (id, doc_id, strategy, answer) with survives: whether one chunk of chunks (doc_id, strategy, text) of its document holds the whole answer; where none does, it is broken."""
+    held = answers.join(chunks.select("doc_id", "strategy", "text"), ["doc_id", "strategy"], "left")
+    return held.groupBy("id", "strategy").agg(F.max(F.coalesce(F.contains("text", "answer"), F.lit(False))).alias("survives"))
+
+
+def reused(wanted: DataFrame, known: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """wanted with `value` of the last of known with its key (by order), or its own where there is none."""
+    last = known.groupBy(key).agg(F.max_by(value, order).alias("_known"))
+    return wanted.join(last, key, "left").withColumn(value, F.coalesce("_known", value)).drop("_known")
+
+
+def before_after(before: DataFrame, after: DataFrame, key: str, *values: str) -> DataFrame:
+    """key, and each value before, after and their difference, of rows in both runs."""
+    rows = before.select(key, *[F.col(v).alias(f"{v}_before") for v in values]).join(after.select(key, *[F.col(v).alias(f"{v}_after") for v in values]), key)
+    return rows.select("*", *[(F.col(f"{v}_after") - F.col(f"{v}_before")).alias(f"{v}_change") for v in values])
+
+
+def chosen(items: DataFrame, ids: list | None = None, limit: int | None = None, key: str = "id") -> DataFrame:
+    """The items with these ids, then the first `limit` by key."""
+    items = items.where(F.col(key).isin(*ids)) if ids else items
+    return items.orderBy(key).limit(limit) if limit else items
+
+
+def adjacent_sample(rows: DataFrame, n: int, seed: int, key: str, group: str) -> DataFrame:
+    """n pairs of neighbours (by key) of each group, by seeded order of the first; `next` is the second's key."""
+    paired = rows.withColumn("next", F.lead(key).over(Window.partitionBy(group).orderBy(key))).where("next is not null")
+    return sample_each(paired, n, seed, key, group)
 
 
 def nearest_rank(rows: DataFrame, value: str, percents: tuple[int, ...], *keys: str, cells: int = 1000) -> DataFrame:
@@ -79,16 +185,28 @@ def round_robin(rows: DataFrame, n: int, seed: int, key: str, group: str) -> Dat
     return turns.orderBy("pass", group).limit(n)
 
 
-def weighted_draws(items: DataFrame, draws: DataFrame, seed: int) -> DataFrame:
-    """(draw, item_id): each of draws (draw) takes an item of items (item_id, place from 0) with weight 1 / (place + 1), with replacement: a range join of uniform numbers with cumulative weights, cut into 1000 steps to be an equi-join."""
-    steps = 1000
-    w = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+def weighted_draws(items: DataFrame, draws: DataFrame, seed: int, others: DataFrame | None = None, share: float = 0.15) -> DataFrame:
+    """(draw, item_id): each of draws (draw) takes an item of items (item_id, place from 0) with weight 1 / (place + 1), with replacement. With others (item_id), a share of the draws takes one of them instead, each as likely.
+
+    A range join of uniform numbers with cumulative weights, cut into 1000 steps to be an equi-join. Cumulative weights are sums within blocks of places and before them, so no list is put in order by one task.
+    """
+    steps, block = 1000, 4096
     weight = 1.0 / (F.col("place") + 1)
-    total = items.agg(F.sum(weight).alias("total"))
-    upto = items.select("item_id", "place", F.sum(weight).over(w).alias("hi"), weight.alias("w")).crossJoin(F.broadcast(total)).select("item_id", ((F.col("hi") - F.col("w")) / F.col("total")).alias("lo"), (F.col("hi") / F.col("total")).alias("hi"))
+    blocks = items.groupBy(F.expr(f"place div {block}").alias("block")).agg(F.sum(weight).alias("w"))
+    before = blocks.select("block", (F.sum("w").over(Window.orderBy("block")) - F.col("w")).alias("before"), F.sum("w").over(Window.partitionBy(F.lit(0))).alias("total"))
+    inside = F.sum(weight).over(Window.partitionBy("block").orderBy("place"))
+    upto = items.select("item_id", "place", F.expr(f"place div {block}").alias("block")).withColumn("inside", inside).join(before, "block")
+    upto = upto.select("item_id", ((F.col("before") + F.col("inside") - weight) / F.col("total")).alias("lo"), ((F.col("before") + F.col("inside")) / F.col("total")).alias("hi"))
     bins = upto.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * steps).cast("int"), F.floor(F.col("hi") * steps).cast("int"))))
-    u = F.conv(F.substring(hash_order(F.col("draw"), seed), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    return draws.withColumn("u", u).withColumn("bin", F.floor(F.col("u") * steps).cast("int")).join(bins, "bin").where("u >= lo and u < hi").select("draw", "item_id")
+    uniform = lambda salt: F.conv(F.substring(hash_order(F.col("draw"), salt), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    mine = draws if others is None else draws.where(uniform(seed + 1) >= share)
+    found = mine.withColumn("u", uniform(seed)).withColumn("bin", F.floor(F.col("u") * steps).cast("int")).join(bins, "bin").where("u >= lo and u < hi").select("draw", "item_id")
+    if others is None:
+        return found
+    n = others.count()
+    numbered = others.select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).alias("at"))  # a fixed list of questions
+    rest = draws.where(uniform(seed + 1) < share).withColumn("at", F.floor(uniform(seed) * n).cast("int")).join(F.broadcast(numbered), "at").select("draw", "item_id")
+    return found.unionByName(rest)
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -96,6 +214,12 @@ def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return existing.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def delete_where(table: DataFrame, attribute: str, value: object) -> tuple[DataFrame, int]:
+    """The table without the rows whose attribute is value, and how many those are."""
+    gone = F.col(attribute).eqNullSafe(F.lit(value))
+    return table.where(~gone), table.where(gone).count()
+
+
 def replace_document(existing: DataFrame, new: DataFrame, attribute: str) -> tuple[DataFrame, DataFrame]:
     """The table with all rows of new's attribute values replaced by new, and counts of deleted and inserted rows by value. New rows are made before old ones go."""
     values = new.select(attribute).distinct()

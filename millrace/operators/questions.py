@@ -58,10 +58,24 @@ def informal(text: Column, language: Column) -> Column:
     return F.when(language == "ar", arabic).otherwise(english)
 
 
+def containing(rules: DataFrame, items: DataFrame) -> DataFrame:
+    """(rule_id, item_id) of all items (item_id, text) that hold the part of one of rules (rule_id, part).
+
+    What holds a part holds its inner words whole, so items are found by the longest of these and then tested. Only parts
+    of fewer than three words, which have no inner one, are sought in every item.
+    """
+    words = F.split("part", T.SPACE + "+")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    keyed = rules.select("rule_id", "part", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w"))))["w"].alias("word"))
+    held = items.select("item_id", "text", F.explode(F.array_distinct(F.split("text", T.SPACE + "+"))).alias("word"))
+    found = held.join(keyed.where("word is not null"), "word").where(F.contains("text", "part")).select("rule_id", "item_id")
+    bare = keyed.where("word is null").select("rule_id", "part")
+    return found if bare.isEmpty() else found.unionByName(items.join(bare, F.contains("text", "part")).select("rule_id", "item_id"))
+
+
 def first_containing(rules: DataFrame, items: DataFrame) -> DataFrame:
-    """(rule_id, item_id): for each of rules (rule_id, part), a fixed table, the first of items (item_id, text) that holds its part; rules without one are left out."""
-    hit = items.join(F.broadcast(rules), F.contains("text", "part"))
-    return hit.groupBy("rule_id").agg(F.min("item_id").alias("item_id"))
+    """(rule_id, item_id): for each of rules (rule_id, part) the first of items (item_id, text) that holds its part; rules without one are left out."""
+    return containing(rules, items).groupBy("rule_id").agg(F.min("item_id").alias("item_id"))
 
 
 def prompt(template: Column, context: Column, asked: Column) -> Column:

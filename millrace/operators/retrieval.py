@@ -2,35 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import shared
 
 K1, B, RRF_K = 1.5, 0.75, 60
+#: Terms of all queries together that go to every worker.
+MOST_ASKED = 200_000
 
 
-def term_counts(docs: DataFrame, doc_id: str, words: Column) -> DataFrame:
-    """(doc_id, term, tf, size): how often each term stands in each document, and the document's number of terms."""
-    sized = docs.select(F.col(doc_id).alias("doc_id"), words.alias("words"))
-    # An inner explode would have Spark test the size of the words first, and find them once more for that.
-    each = sized.select("doc_id", F.size("words").alias("size"), F.explode_outer("words").alias("term")).where("term is not null")
-    return each.groupBy("doc_id", "term", "size").agg(F.count("*").alias("tf"))
+def _posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2048):
+            part = batch.slice(lo, 2048)
+            tokens = part["tokens"]
+            size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+            coded = pc.list_flatten(tokens).dictionary_encode()
+            n = max(1, len(coded.dictionary))
+            pairs, counts = np.unique(np.repeat(np.arange(len(size)), size) * n + coded.indices.to_numpy(), return_counts=True)
+            ends = pa.array(np.searchsorted(pairs, np.arange(len(size) + 1) * n).astype(np.int32))
+            terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(pairs % n)))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(size), terms, pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))], ["doc_id", "size", "terms", "counts"])
+
+
+def build_index(docs: DataFrame, stemmed: bool = True) -> DataFrame:
+    """The keyword index of docs (doc_id, text), written as a table: doc_id, size (tokens), and its distinct terms with their counts. Texts are tokenised here and nowhere else."""
+    tokens = docs.select("doc_id", T.tokens(F.col("text"), stemmed).alias("tokens"))
+    return shared.written(tokens.mapInArrow(_posting_lists, "doc_id long, size int, terms array<string>, counts array<int>"), "keyword-index")
 
 
-def corpus_stats(docs: DataFrame, words: Column) -> DataFrame:
+def corpus_stats(index: DataFrame) -> DataFrame:
     """One row: n_docs and avg_len; documents without terms count."""
-    return docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.size(words)), F.lit(0.0)).alias("avg_len"))
+    return index.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("size"), F.lit(0.0)).alias("avg_len"))
 
 
-def document_frequency(terms: DataFrame) -> DataFrame:
-    """Reads tf as well, so that where terms are joined with their frequency both sides read one shuffle."""
-    return terms.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+def document_frequency(index: DataFrame) -> DataFrame:
+    """(term, df): how many documents hold each term."""
+    return index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -43,33 +59,113 @@ def top(scored: DataFrame, k: int, *order: Column | str, by: str = "query_id") -
     return ranked.where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, stemmed: bool = True) -> DataFrame:
-    """(query_id, rank, doc_id, score): the k best of docs (doc_id, text) for each of queries (query_id, text); ties by doc_id.
+def asked_terms(queries: DataFrame, stemmed: bool = True) -> DataFrame:
+    """(query_id, term): the distinct tokens of queries (query_id, text)."""
+    rows = queries.select("query_id", F.explode_outer(F.array_distinct(T.tokens(F.col("text"), stemmed))).alias("term"))
+    return rows.where("term is not null")
+
+
+class _Best:
+    """The k best documents of each query so far, ties by id: what one task keeps and gives away at its end."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.zeros(queries)
+        self.query, self.score, self.doc = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
 
-    Only postings of query terms are shuffled; the term table is narrowed before it meets the queries.
+    def add(self, scores: np.ndarray, docs: np.ndarray) -> None:
+        """Scores (document, query); only those above 0 count."""
+        d, q = np.nonzero((scores > 0) & (scores >= self.least))
+        query, score, doc = np.append(self.query, q), np.append(self.score, scores[d, q]), np.append(self.doc, docs[d])
+        order = np.lexsort((doc, -score, query))
+        query, score, doc = query[order], score[order], doc[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = place < self.k
+        self.query, self.score, self.doc = query[kept], score[kept], doc[kept]
+        last = place[kept] == self.k - 1
+        self.least[self.query[last]] = self.score[last]
+
+
+def _scores(index: DataFrame, asked: pd.DataFrame, k: int, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(query_id, doc_id, score) of the k best documents of each query in each task. asked is (query_id, term, weight); a term adds its weight times part(count, size)."""
+    terms, at = np.unique(asked["term"].to_numpy(str), return_inverse=True)
+    ids, query = np.unique(asked["query_id"].to_numpy(np.int64), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    query, weight, starts = query[order], asked["weight"].to_numpy(float)[order], np.searchsorted(at[order], np.arange(len(terms) + 1))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, best = pa.array(terms.tolist(), pa.string()), _Best(len(ids), k)
+        rows_each = max(1, (1 << 20) // max(1, len(ids)))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows_each):
+                rows = batch.slice(lo, rows_each)
+                held = pc.list_flatten(rows["terms"])
+                found = pc.index_in(held.cast(pa.string()), known)
+                hit = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+                term, row = found.to_numpy(zero_copy_only=False)[hit].astype(np.int64), pc.list_parent_indices(rows["terms"]).to_numpy()[hit]
+                value = part(pc.list_flatten(rows["counts"]).to_numpy()[hit], rows["size"].to_numpy()[row])
+                # Each posting once for every query that asks for its term.
+                n = starts[term + 1] - starts[term]
+                ends = np.cumsum(n)
+                each = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[term] - ends + n, n)
+                cells = np.repeat(row, n) * len(ids) + query[each]
+                scores = np.bincount(cells, np.repeat(value, n) * weight[each], rows.num_rows * len(ids)).reshape(rows.num_rows, len(ids))
+                best.add(np.round(scores, 9), rows["doc_id"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.doc), pa.array(best.score)], ["query_id", "doc_id", "score"])
+
+    return index.where("doc_id is not null").mapInArrow(score, "query_id long, doc_id long, score double")
+
+
+def bm25_search(index: DataFrame, queries: DataFrame, k: int, stemmed: bool = True) -> DataFrame:
+    """(query_id, rank, doc_id, score): the k best documents of the index for each of queries (query_id, text); ties by doc_id.
+
+    Up to MOST_ASKED terms of all queries go to the workers, which score documents where they lie and give away k rows of
+    a query each. Beyond that, postings are joined with the queries by term.
     """
-    words = T.tokens(F.col("text"), stemmed)
-    asked = queries.select("query_id", F.explode_outer(F.array_distinct(words)).alias("term")).where("term is not null")
-    wanted = asked.select("term").distinct()
-    postings = term_counts(docs, "doc_id", words).join(wanted, "term", "left_semi")
-    weights = document_frequency(postings).crossJoin(F.broadcast(corpus_stats(docs, words)))
-    weights = weights.select("term", "avg_len", idf(F.col("n_docs"), F.col("df")).alias("idf"))
+    asked = asked_terms(queries, stemmed)
+    stats = corpus_stats(index)
+    if asked.count() > MOST_ASKED:
+        return _bm25_by_join(index, asked, stats, k)
+    found, total = asked.toPandas(), stats.first()
+    wanted = index.sparkSession.createDataFrame([(t,) for t in sorted(set(found["term"]))], "term string")
+    df = {r["term"]: r["df"] for r in index.select(F.explode("terms").alias("term")).join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("df")).collect()}
+    n, mean = total["n_docs"], total["avg_len"] or 1.0
+    found["weight"] = [float(np.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5))) for t in found["term"]]
+    scored = _scores(index, found, k, lambda tf, size: tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean)))
+    return top(scored, k, F.desc("score"), "doc_id").select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def _bm25_by_join(index: DataFrame, asked: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    postings = index.select("doc_id", "size", F.explode(F.arrays_zip("terms", "counts")).alias("p")).select("doc_id", "size", F.col("p.terms").alias("term"), F.col("p.counts").alias("tf"))
+    weights = document_frequency(index).crossJoin(F.broadcast(stats)).select("term", "avg_len", idf(F.col("n_docs"), F.col("df")).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avg_len")))
-    parts = postings.join(weights, "term").select("doc_id", "term", part.alias("part"))
-    scored = parts.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")).where("score > 0")
+    parts = postings.join(asked.join(weights, "term"), "term").select("query_id", "doc_id", part.alias("part"))
+    scored = parts.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")).where("score > 0")
     return top(scored, k, F.round("score", 9).desc(), "doc_id").select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
-def overlap(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, doc_id, score): the k documents that hold most of a query's distinct tokens, as a share; ties by doc_id."""
-    words = F.array_distinct(T.tokens(F.col("text"), False))
-    asked = queries.select("query_id", F.size(words).alias("n"), F.explode(words).alias("term"))
-    held = docs.select("doc_id", F.explode_outer(words).alias("term")).where("term is not null")
-    scored = held.join(F.broadcast(asked), "term").groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("hits"))
-    scored = scored.withColumn("score", F.round(F.col("hits") / F.col("n"), 6))
+def bm25(docs: DataFrame, queries: DataFrame, k: int, stemmed: bool = True) -> DataFrame:
+    """bm25_search in an index of docs (doc_id, text) that is built for it."""
+    return bm25_search(build_index(docs, stemmed), queries, k, stemmed)
+
+
+def overlap_search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, doc_id, score): the k documents of the index (of unstemmed terms) that hold most of a query's distinct tokens, as a share; ties by doc_id."""
+    asked = asked_terms(queries, False)
+    sizes = asked.groupBy("query_id").agg(F.count("*").alias("n"))
+    if asked.count() > MOST_ASKED:
+        held = index.select("doc_id", F.explode("terms").alias("term"))
+        scored = held.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+    else:
+        scored = _scores(index, asked.toPandas().assign(weight=1.0), k, lambda tf, size: np.ones(len(tf)))
+    scored = scored.join(sizes, "query_id").withColumn("score", F.round(F.col("score") / F.col("n"), 6))
     return top(scored, k, F.desc("score"), "doc_id").select("query_id", "rank", "doc_id", "score")
 
 
+def overlap(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """overlap_search in an index of docs (doc_id, text) that is built for it."""
+    return overlap_search(build_index(docs, False), queries, k)
+
+
 def rrf(ranked: list[DataFrame], k: int, constant: int = RRF_K) -> DataFrame:
     """(query_id, rank, doc_id, score): lists of (query_id, rank, doc_id) fused by the sum of 1 / (constant + rank); ties in order of first appearance."""
     rows = None

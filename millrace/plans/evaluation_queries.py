@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E
+from ..operators import questions as Q
 from ..operators import retrieval as R
 from ..sources.tables import spread, table
 from ..streaming import updates
@@ -29,8 +30,8 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = bench.select(i.alias("id"), F.when(i % 2 == 0, "en").otherwise("ar").alias("language"), F.when(i % 3 == 0, "exact_value").when(i % 3 == 1, "simple").otherwise("multi").alias("type"))
     asked = bench.select(i.alias("query_id"), "text")
     ranked = R.bm25(docs, asked, 10).select(F.col("query_id").alias("id"), "rank", "doc_id")
-    # The passages are a fixed set of queries against all rows.
-    gold = docs.join(F.broadcast(bench.select(i.alias("id"), F.col("text").alias("passage"))), F.contains("text", "passage")).select("id", "doc_id")
+    found = Q.containing(bench.select(i.alias("rule_id"), F.col("text").alias("part")), docs.withColumnRenamed("doc_id", "item_id"))
+    gold = found.select(F.col("rule_id").alias("id"), F.col("item_id").alias("doc_id"))
     return E.ranking_metrics(items, ranked, gold)
 
 

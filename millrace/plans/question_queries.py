@@ -75,7 +75,7 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines cut at 40 characters and put together again where they go on."""
     cut = F.filter(F.split(F.regexp_replace("text", r"(.{30,40}?) ", "$1\n"), "\n"), lambda x: F.trim(x) != "")
-    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", Q.merge_wrapped(F.transform(cut, F.trim)).alias("l"))
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", Q.merge_wrapped(F.transform(cut, lambda x: F.trim(x))).alias("l"))
     return rows.select("doc_id", F.size("l").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("digest"))
 
 
