@@ -17,6 +17,14 @@ REFUSALS = {
 }
 
 
+VAGUE = {"en": "Could you say a little more about what you need?", "ar": "هل يمكنك توضيح ما تحتاجه أكثر؟"}
+
+
+def vague_text(language: Column) -> Column:
+    """What asks for more of a question that says nothing."""
+    return F.when(language == "ar", VAGUE["ar"]).otherwise(VAGUE["en"])
+
+
 def _lookup(values: dict[tuple[str, str], object], a: Column, b: Column) -> Column:
     table = F.create_map(*[F.lit(x) for x in chain(*[(f"{k[0]}|{k[1]}", v) for k, v in values.items()])])
     return F.try_element_at(table, F.concat_ws("|", a, b))
@@ -63,6 +71,12 @@ def salvage(raw: Column, schema: str) -> Column:
     return F.from_json(F.when(F.get_json_object(raw, "$").isNotNull(), raw).otherwise(inner), schema)
 
 
+def salvaged(raw: Column, schema: str, defaults: dict[str, object]) -> Column:
+    """JSON from text as `salvage` reads it, with a default for each field that is missing, or for all."""
+    found = salvage(raw, schema)
+    return F.struct(*[F.coalesce(found[k], F.lit(v)).alias(k) for k, v in defaults.items()])
+
+
 def retry_after(message: Column, attempt: Column) -> Column:
     """Seconds to wait: those in the message and half a second, else by attempt."""
     wait = r"try again in (?:([0-9]+)m)?([0-9.]+)(ms|s)"

@@ -86,7 +86,8 @@ def prompt(template: Column, context: Column, asked: Column) -> Column:
 def parsed_response(body: Column, schema: str) -> Column:
     """answer: what stands before the marker; metadata: the JSON after it, null without one."""
     at = F.instr(body, MARKER)
-    text = F.when(at > 0, F.left(body, at - 1)).otherwise(body)
+    before = F.left(body, at - 1)
+    text = F.when(at > 0, F.when(before.endswith("\n"), F.left(before, F.length(before) - 1)).otherwise(before)).otherwise(body)  # a writer may leave a blank line
     after = F.when(at > 0, F.substring(body, at + len(MARKER), F.length(body)))
     return F.struct(text.alias("answer"), F.from_json(after, schema).alias("metadata"))
 

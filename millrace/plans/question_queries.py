@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import logs
 from ..functions import text as T
+from ..operators import answers as A
 from ..operators import questions as Q
 from ..operators import retrieval as R
+from ..functions import guards as G
+from ..functions import providers as P
 from ..sources.tables import spread, table
 from .registry import query
 from .retrieval_queries import _BM25
@@ -136,3 +140,66 @@ def ask_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = found.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select("query_id", "rank", "source", (F.col("score") / (F.col("score") + 10)).alias("similarity"))
     out = Q.ask(asked, verdicts, found)
     return out.withColumns({"confidence": F.round("confidence", 6), "sources": F.array_join("sources", ",")})
+
+
+@query(f"""
+    WITH b AS (SELECT conv_id, turn, text || chr(10) || '{Q.MARKER}' || '{{"language":"en","turn":' || turn || ',"sources":["a","b"],"match_type":null}}' AS body FROM conversations) SELECT conv_id, turn, md5(body) AS digest FROM b
+""")
+def response_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = F.struct(F.lit("en").alias("language"), F.col("turn").alias("turn"), F.array(F.lit("a"), F.lit("b")).alias("sources"), F.lit(None).cast("string").alias("match_type"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(A.body(F.col("text"), meta)).alias("digest"))
+
+
+@query(f"SELECT conv_id, turn, regexp_replace(lower({T.sql_strip('t')}), '{T.SPACE}+', ' ', 'g') AS key FROM (SELECT conv_id, turn, '  ' || replace(text, ' ', chr(9) || ' ') || chr(10) AS t FROM conversations)")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit("\t ")), F.lit("\n"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", A.cache_key(said).alias("key"))
+
+
+@query("""
+    WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank, text, role AS source FROM conversations)
+    SELECT conv_id AS query_id, md5(string_agg('[Source ' || rank || ': ' || source || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS context, md5(string_agg(text, chr(10) || chr(10) ORDER BY rank)) AS judged,
+        string_agg(CASE WHEN rank <= 5 THEN '- ' || left(text, 220) END, chr(10) ORDER BY rank) AS preview, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM r GROUP BY conv_id
+""")
+def answer_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as results: the context for a prompt, for a judge, and the preview for a classifier."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.row_number().over(w).alias("rank"), "text", F.col("role").alias("source"))
+    return A.contexts(rows).select("query_id", F.md5("context").alias("context"), F.md5("judged").alias("judged"), "preview", F.array_join("sources", ",").alias("sources"))
+
+
+@query("""
+    SELECT event_id, '[ask] lang=' || event_type || CASE WHEN event_id % 3 > 0 THEN ' vector=' || (event_id % 97) || 'ms' ELSE '' END AS line, CASE WHEN user_id * 7 < 1000 THEN (user_id * 7) || ' ms' ELSE format('{:.1f} s', user_id * 7 / 1000.0::DOUBLE) END AS took,
+        CASE WHEN length(event_type) > 4 THEN left(event_type, 4) || '…' ELSE event_type END AS short, '&lt;b&gt;' || event_type || ' &amp; co&lt;/b&gt;' AS html FROM events
+""")
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    said = F.concat_ws(" ", logs.line("ask", lang=F.col("event_type")), F.nullif(logs.timings(vector=F.when(i % 3 > 0, i % 97)), F.lit("")))
+    return table(spark, sf_dir, "events").select("event_id", said.alias("line"), logs.duration(F.col("user_id") * 7).alias("took"), logs.shortened(F.col("event_type"), 4).alias("short"), logs.escaped(F.concat(F.lit("<b>"), "event_type", F.lit(" & co</b>"))).alias("html"))
+
+
+@query("""
+    WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{"in_domain": false}' WHEN 1 THEN 'So: {"is_ambiguous": true, "clarifying_question": "q"} there' WHEN 2 THEN 'none' END AS raw FROM documents)
+    SELECT doc_id, doc_id % 4 <> 0 AS in_domain, doc_id % 4 = 1 AS is_ambiguous, CASE WHEN doc_id % 4 = 1 THEN 'q' ELSE '' END AS clarifying_question FROM r
+""")
+def verdict_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    raw = F.when(i % 4 == 0, F.lit('{"in_domain": false}')).when(i % 4 == 1, F.lit('So: {"is_ambiguous": true, "clarifying_question": "q"} there')).when(i % 4 == 2, "none")
+    found = G.salvaged(raw, "in_domain boolean, is_ambiguous boolean, clarifying_question string", {"in_domain": True, "is_ambiguous": False, "clarifying_question": ""})
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("v")).select("doc_id", "v.*")
+
+
+@query()
+def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole path from passages as questions to prompts and response bodies. Some are blank, vague or in the cache; vectors are hashed ones. Tests follow it by hand."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    index, vectors = R.build_index(docs), P.embed(docs).select(F.col("doc_id").alias("id"), F.col("embedding").alias("vec"))
+    near = lambda q, k: R.vector_top(vectors, P.embed(q).select(F.col("query_id").alias("id"), F.col("embedding").alias("vec")), k).withColumnRenamed("vec_id", "doc_id")
+    bench, i, null = table(spark, sf_dir, "benchmark"), F.col("item_id"), lambda t: F.lit(None).cast(t)
+    asked = bench.select(i.alias("query_id"), F.when(i % 11 == 0, " ").when(i % 11 == 1, "??").otherwise(F.col("text")).alias("question"), null("string").alias("language"), null("int").alias("top_k"), null("string").alias("mode"), null("string").alias("embedding_backend"))
+    asked = P.embed(asked.withColumn("said", F.coalesce("question", F.lit(""))), "said").withColumnRenamed("embedding", "vec").drop("said")
+    known = P.embed(bench.where(i % 5 == 0).select(i.alias("id"), "text")).select("id", A.cache_key(F.col("text")).alias("key"), F.col("embedding").alias("vec"), F.concat(F.lit("Answer "), F.col("id").cast("string")).alias("answer"), F.array(F.lit("cache")).alias("sources"))
+    verdicts = bench.select(i.alias("query_id"), (i % 9 != 0).alias("in_domain"), F.lit(False).alias("needs_account_data"), (i % 7 == 0).alias("is_ambiguous"), F.lit("Which one?").alias("clarifying_question"))
+    templates = spark.createDataFrame([("en", "Use {context} for {question}"), ("ar", "{context} ؟ {question}")], "language string, template string")
+    rows = A.ask(asked, known, near, lambda q, k: R.bm25_search(index, q, k), docs, verdicts, templates, similarity=0.9999)
+    return rows.select("query_id", "status", "action", "match_type", "language", "model", F.md5("prompt").alias("prompt"), "text", F.md5("body").alias("body"))

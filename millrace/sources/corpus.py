@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .html import extract
+from .html import extract, raw_text
 
 CHUNK = "chunk_id string, doc_id string, chunk_index int, text string, language string, topic string, source_file string, source_format string, strategy string, char_count int, token_count int"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -32,24 +33,44 @@ def path_language(path: Column) -> Column:
     return F.when(F.array_contains(parts, "ar"), "ar").when(F.array_contains(parts, "en"), "en").otherwise("unknown")
 
 
-def docx_text(content: bytes) -> str:
-    """Non-empty paragraphs outside tables, then table rows with cells joined by a bar; no line twice."""
+@dataclass(frozen=True)
+class SavedPage:
+    """What marks lines of the frame in documents saved from a site: two sets of exact lines, and parts in lower case. They are the site's, so empty unless a caller gives them."""
+
+    lines: tuple[str, ...] = ()
+    navigation: tuple[str, ...] = ()
+    parts: tuple[str, ...] = ()
+
+    def has(self, line: str) -> bool:
+        return line in self.lines or line in self.navigation or any(p in line.lower() for p in self.parts)
+
+
+def docx_lines(content: bytes) -> list[str]:
+    """Non-empty paragraphs outside tables, then table rows with cells joined by a bar."""
     body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{_W}body")
     said = lambda x: "".join(t.text or "" for t in x.iter(f"{_W}t")).strip()
     lines = [said(p) for p in body.findall(f"{_W}p")]
     for row in body.iter(f"{_W}tr"):
         lines.append(" | ".join(c for c in (said(x) for x in row.findall(f"{_W}tc")) if c))
-    return "\n".join(dict.fromkeys(x for x in lines if x))
+    return [x for x in lines if x]
 
 
-def _read_file(content: bytes, kind: str) -> tuple[str | None, str | None]:
+def docx_text(content: bytes, page: SavedPage = SavedPage()) -> str:
+    """The lines of a document without its page's frame, none of them twice."""
+    return "\n".join(dict.fromkeys(x for x in docx_lines(content) if not page.has(x)))
+
+
+def _read_file(content: bytes, kind: str, page: SavedPage, clean: bool) -> tuple[str | None, str | None]:
     try:
         if not content:
             return None, "empty"
         if kind in ("html", "htm"):
-            return extract(content.decode("utf-8", "replace"), ("main",))
-        if kind == "docx":
-            text = docx_text(content)
+            text = content.decode("utf-8", "replace")
+            if clean:
+                return extract(text, ("main",))
+            text = raw_text(text)
+        elif kind == "docx":
+            text = docx_text(content, page) if clean else "\n".join(docx_lines(content))
         elif kind in ("txt", "md"):
             text = content.decode("utf-8", "replace")
         else:
@@ -59,12 +80,15 @@ def _read_file(content: bytes, kind: str) -> tuple[str | None, str | None]:
         return None, f"unreadable: {type(e).__name__}"
 
 
-def read_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """Documents of all files under root but hidden ones and those named empty or scanned; what can't be read is rejected with a reason."""
+def read_corpus(spark: SparkSession, root: str, page: SavedPage = SavedPage(), clean: bool = True) -> DataFrame:
+    """Documents of all files under root but hidden ones and those named empty or scanned; what can't be read is rejected with a reason.
+
+    Lines that `page` marks go from documents of a word processor. With clean=False texts are as files hold them.
+    """
 
     @F.pandas_udf("text string, reject_reason string")
     def read(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_read_file(c, k) for c, k in zip(content, kind)], columns=["text", "reject_reason"])
+        return pd.DataFrame([_read_file(c, k, page, clean) for c, k in zip(content, kind)], columns=["text", "reject_reason"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", r"^[a-z]+:/+(?=/)|^file:(?=/)", "")
@@ -75,7 +99,7 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     kind = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
     rows = kept.select(relative.alias("source_file"), kind.alias("source_format"), "content").withColumn("r", read("content", "source_format"))
     text = F.coalesce("r.text", F.lit(""))
-    text = F.when(text.rlike(f"[{T.ARABIC}]"), T.normalize_arabic(text)).otherwise(text)
+    text = F.when(F.lit(clean) & T.has_arabic(text), T.normalize_arabic(text)).otherwise(text)
     return rows.select(
         doc_id(F.col("source_file"), F.col("content")).alias("doc_id"), text.alias("text"), path_language(F.col("source_file")).alias("language"), F.regexp_extract("source_file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("topic"),
         "source_file", "source_format", F.lit(None).cast("string").alias("section_heading"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("ingestion_date"),

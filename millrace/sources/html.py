@@ -17,8 +17,6 @@ REMOVED_CLASSES = frozenset((
 ))
 ENTITY_CLASS, BODY_CLASS = "eck-entity", "field--name-field-body"
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
-#: An end tag is looked for among so many open elements only, so that unclosed tags cost no more than that each.
-DEPTH = 400
 
 
 class _Node:
@@ -36,6 +34,7 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.boundary, self.root, self.found = boundary, _Node("", None), False
         self.root.kept, self.open = True, [self.root]
+        self.places: dict[str, list[int]] = {}  # where in `open` the elements of each tag name stand, so that an end tag finds its start at any depth
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         classes = set((dict(attrs).get("class") or "").split())
@@ -47,22 +46,25 @@ class _Reader(HTMLParser):
             node.kept = True
         node.entity = ENTITY_CLASS in classes
         if BODY_CLASS in classes:
-            for x in self.open:
+            for x in reversed(self.open):
+                if x.has_body:
+                    break  # and so has all above it
                 x.has_body = True
         above.parts.append(node)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, max(0, len(self.open) - DEPTH), -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        if self.places.get(tag):
+            at = self.places[tag][-1]
+            while len(self.open) > at:  # each element is closed once, whatever is left open
+                self.places[self.open.pop().tag].pop()
 
     def handle_data(self, data: str) -> None:
         node = self.open[-1]
@@ -79,6 +81,33 @@ class _Reader(HTMLParser):
                 stack.extend(reversed(x.parts))
 
 
+class _RawReader(HTMLParser):
+    """All text nodes outside scripts and styles."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.hidden = 0
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.hidden += tag in ("script", "style")
+
+    def handle_endtag(self, tag: str) -> None:
+        self.hidden -= tag in ("script", "style") and self.hidden > 0
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden and data.strip():
+            self.parts.append(data.strip())
+
+
+def raw_text(html: str) -> str:
+    """The text of a whole page, nothing removed but scripts and styles."""
+    reader = _RawReader()
+    reader.feed(html)
+    reader.close()
+    return "\n".join(reader.parts)
+
+
 def extract(html: str | None, boundaries: tuple[str, ...]) -> tuple[str | None, str | None]:
     """(text, reject_reason): lines of text without repeats, inside the first boundary tag that the page has."""
     if not html or not html.strip():

@@ -190,6 +190,15 @@ def test_html(page, want):
     assert html.extract(page, ("main",)) == want
 
 
+def test_html_at_any_depth():
+    """End tags find their start under any number of unclosed elements, in time linear in the page."""
+    assert html.extract("<main><nav>x" + "<b>" * 450 + "</nav><p>body</p></main>", ("main",)) == ("body", None)
+    began = time.perf_counter()
+    assert html.extract("<main>" + "<b><i>x</b>" * 60_000 + "<p>end</p></main>", ("main",)) == ("x\nend", None)
+    assert time.perf_counter() - began < 10
+    assert html.raw_text("<nav>menu</nav><script>no</script><p>a</p> <p>b") == "menu\na\nb"
+
+
 def test_corpus_of_files(spark, tmp_path):
     (tmp_path / "en" / "faq").mkdir(parents=True)
     (tmp_path / "ar").mkdir()
@@ -209,6 +218,10 @@ def test_corpus_of_files(spark, tmp_path):
         "en/faq/lines.html": ("Text", "en", "lines", "ok"), "ar/page.htm": ("خدمه", "ar", "page", "ok"), "en/bad.docx": ("", "en", "bad", "rejected"), "en/x.pdf": ("", "en", "x", "rejected"), "en/good.docx": ("Para\na | b", "en", "good", "ok"),
     }
     assert len(got["en/x.pdf"].doc_id) == 16 and "pdf" in got["en/x.pdf"].reject_reason
+    page = corpus.SavedPage(lines=("Para",), parts=("| b",))
+    assert {r.source_file: (r.text, r.reject_reason) for r in corpus.read_corpus(spark, str(tmp_path), page).collect()}["en/good.docx"] == ("", "no text")
+    raw = {r.source_file: r.text for r in corpus.read_corpus(spark, str(tmp_path), page, clean=False).collect()}
+    assert raw["en/good.docx"] == "Para\na | b" and raw["ar/page.htm"] == "خدمة"
 
 
 def test_stream_replaces_documents(spark, tmp_path):

@@ -21,12 +21,6 @@ def test_embeddings_have_length_one(spark):
     assert sum(x * x for x in rows[0].embedding) == pytest.approx(1) and set(rows[1].embedding) == set(rows[2].embedding) == {0.0}
 
 
-def test_boilerplate_of_saved_pages(spark):
-    lines = ["Home", "home", "Was this page helpful ?", "A step"]
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "x string").coalesce(1).select(P.is_saved_page_boilerplate(F.col("x"))).collect()]
-    assert got == [True, False, True, False]
-
-
 def test_markdown(spark):
     assert markdown(spark.createDataFrame([(1, "a|b"), (2, None)], "n int, t string").coalesce(1)) == "| n | t |\n| - | - |\n| 1 | a\\|b |\n| 2 |  |\n"
     with pytest.raises(ValueError):
@@ -43,9 +37,9 @@ def test_wrapped_lines_and_headings(spark):
 
 
 def test_twins(spark):
-    pdfs = spark.createDataFrame([("a", "abcdef"), ("b", "abcdef"), ("c", "x")], "stem string, text string")
-    pages = spark.createDataFrame([("a", "abcdeg"), ("b", "zzzz")], "stem string, text string")
-    assert {r.stem: r.status for r in Q.twin_check(pdfs, pages).collect()} == {"a": "ok", "b": "rejected", "c": "ok"}
+    pdfs = spark.createDataFrame([("en", "a", "abcdef"), ("en", "b", "abcdef"), ("en", "c", "x"), ("ar", "b", "zzzz")], "folder string, stem string, text string")
+    pages = spark.createDataFrame([("en", "a", "abcdeg"), ("en", "b", "zzzz"), ("ar", "a", "q")], "folder string, stem string, text string")
+    assert {r.folder + r.stem: r.status for r in Q.twin_check(pdfs, pages).collect()} == {"ena": "ok", "enb": "rejected", "enc": "ok", "arb": "ok"}
 
 
 def test_requests_and_ask(spark):
