@@ -1,4 +1,8 @@
-"""Connected components of a graph held in DataFrames, by alternating large and small stars."""
+"""Connected components of a graph held in DataFrames, by alternating large and small stars.
+
+A round takes every node to the least of its neighbourhood, which about squares the reach of a node, so paths of n nodes
+settle in some log2 n rounds. ROUNDS is enough for more nodes than any table has rows; not settling by then is an error.
+"""
 
 from __future__ import annotations
 

@@ -1,33 +1,12 @@
-"""Folders that the driver and all executors share, and tables written there to cut lineage."""
+"""Folders that the driver and all executors share, tables written there to cut lineage, and files that Python workers read and write there."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one that is then set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
+from ..sources.shared import new_folder, shared_folder, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: later steps survive lost executors and nothing runs twice."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["file_system", "new_folder", "shared_folder", "written"]
 
 
 def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:

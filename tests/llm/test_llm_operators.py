@@ -792,6 +792,57 @@ def test_one_row_for_each_row(name, edge, none, labels):
     assert OPERATORS[name](none, labels.limit(0)).collect() == []
 
 
+def test_quality_edge_values(edge, labels):
+    rows = quality.quality(edge, labels).collect()
+    blank = [r for r in rows if r.doc_id in (3, 4, 5)]
+    assert len(blank) == 3 and all((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept, r.score) == (0, 0, 0, 0, 0, True, False, 0.0) for r in blank)
+    (long,) = [r for r in rows if r.doc_id == 6]
+    assert (long.n_words, long.word_chars, long.n_repeat_words, long.base_failed) == (40_001, 160_003, 40_000, True)
+    twice = [r for r in rows if r.doc_id == 2]
+    assert len(twice) == 2 and len({tuple(r) for r in twice}) == 1
+    assert {r.score for r in quality.quality(edge, labels.limit(0)).collect()} == {0.0}
+
+
+def test_token_file_edge_values(edge):
+    rows = tokenfile.read_tokens(tokenfile.write_tokens(edge)).collect()
+    library = Tokenizer.from_file(tokens.VOCABULARY)
+    assert all(np.frombuffer(r.ids, "<u4").tolist() == [2] for r in rows if r.doc_id in (3, 4, 5))
+    (long,) = [r for r in rows if r.doc_id == 6]
+    assert np.frombuffer(long.ids, "<u4").tolist() == library.encode(LONG, add_special_tokens=False).ids + [2]
+    starts = sorted((r.start, len(r.ids) // 4, r.doc_id is None, r.doc_id or 0) for r in rows)
+    assert all(a[0] + a[1] == b[0] for a, b in zip(starts, starts[1:])) and [x[2] for x in starts[:2]] == [True, True] and [x[3] for x in starts[2:]] == sorted(x[3] for x in starts[2:])
+
+
+CHAT_COLUMNS = ["window", "turns", "cost", "open", "body", "close", "upto", "starts", "sys", "part", "marks", "bodies", "targets", "formatted", "chars", "w", "repeated"]
+
+
+def test_chat_edge_rows(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    table = spark.createDataFrame([(1, 0, None, None), (1, 0, None, None), (1, 1, "assistant", LONG), (None, None, None, ""), (2, 0, "assistant", None), (2, 0, "user", "x")], schema).select("*", *[F.lit(-5).alias(c) for c in CHAT_COLUMNS])
+    got = {r.conv_id: r for r in chat.digests(chat.read_windows(chat.chat_windows(table))).collect()}
+    digest = lambda *turns: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars, got[1].loss_sha256) == (3, digest(("", ""), ("", ""), ("assistant", LONG)), len(LONG), hashlib.sha256(LONG.encode()).hexdigest())
+    assert (got[None].n_turns, got[None].turns_sha256, got[None].loss_chars) == (1, digest(("", "")), 0) and (got[2].turns_sha256, got[2].loss_chars) == (digest(("assistant", ""), ("user", "x")), 0)
+    empty = spark.createDataFrame([], schema)
+    assert chat.chat_windows(empty).collect() == []
+    (probe,) = chat.digests(chat.read_windows(chat.chat_windows(chat.probe(empty)))).collect()
+    said = "</s>[INST] ok [/INST]"
+    assert (probe.conv_id, probe.turns_sha256, probe.loss_chars) == (-1, digest(("user", said), ("assistant", said)), len(said))
+
+
+def test_last_stage_on_edge_rows(spark, edge, none, sf):
+    rows = corpus_pipeline.STAGES[4][1](spark, edge, sf).collect()
+    library = Tokenizer.from_file(tokens.VOCABULARY)
+    want = Counter(len(library.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in ROWS)
+    assert Counter(r.doc_tokens for r in rows if r.start == 0) == want and sum(r.length for r in rows) == sum(k * n for k, n in want.items())
+    assert {r.ids_crc32 for r in rows if r.doc_id in (3, 4, 5)} == {zlib.crc32(np.array([2], "<u4").tobytes())}
+    at = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert at.get(r.sequence_id, 0) == r.offset
+        at[r.sequence_id] = r.offset + r.length
+    assert max(at.values()) <= 4096 and corpus_pipeline.STAGES[4][1](spark, none, sf).collect() == []
+
+
 def test_packing_edge_rows(edge, none):
     rows = packing.pack(edge).collect()
     check_pieces(rows)
@@ -843,5 +894,14 @@ def test_pipeline_against_its_stages_by_hand(spark, docs, sf):
     for _, stage in corpus_pipeline.STAGES[:3]:
         staged = shared.written(stage(spark, staged, sf), "stage")
     assert {r.doc_id for r in staged.collect()} == want
-    packed = corpus_pipeline.run(spark, sf)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} <= want
+    texts = dict(rows)
+    mixed = shared.written(corpus_pipeline.STAGES[3][1](spark, staged, sf), "stage")
+    times = Counter(r.doc_id for r in mixed.collect())
+    packed = corpus_pipeline.run(spark, sf).collect()
+    assert Counter(r.doc_id for r in packed if r.start == 0) == times and set(times) <= want
+    library, pieces = Tokenizer.from_file(tokens.VOCABULARY), Counter()
+    for r in packed:
+        pieces[r.doc_id] += r.length
+    for doc, n in times.items():
+        ids = library.encode(texts[doc], add_special_tokens=False).ids + [2]
+        assert pieces[doc] == n * len(ids) and all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in packed if r.doc_id == doc)
