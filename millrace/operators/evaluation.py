@@ -140,28 +140,51 @@ def chosen(items: DataFrame, ids: list | None = None, limit: int | None = None,
 
 def adjacent_sample(rows: DataFrame, n: int, seed: int, key: str, group: str) -> DataFrame:
     """n pairs of neighbours (by key) of each group, by seeded order of the first; `next` is the second's key."""
-    paired = rows.withColumn("next", F.lead(key).over(Window.partitionBy(group).orderBy(key))).where("next is not null")
+    paired = with_next(rows, group, key, {"next": key}).where("next is not null")
     return sample_each(paired, n, seed, key, group)
 
 
-def nearest_rank(rows: DataFrame, value: str, percents: tuple[int, ...], *keys: str, cells: int = 1000) -> DataFrame:
+def nearest_rank(rows: DataFrame, value: str, percents: tuple[int, ...], *keys: str, accuracy: int = 10_000) -> DataFrame:
     """Percentiles of a column by keys: the value at index round-half-even(p / 100 * (n - 1)), nulls left out.
 
-    Equal values are one row before they are ordered. Counts of `cells` equal ranges of a key's values tell which range a
-    percentile lies in, and only the values of that range are put in order, so a key that most rows have is no single
-    task's to sort.
+    Approximate percentiles, whose ranks are off by n / accuracy at most, tell between which two values a percentile lies. Rows
+    below are counted, and only distinct values in between are put in order, so neither a key that most rows have nor values
+    far out make one task's work. Keys with up to `accuracy` rows are ordered whole.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.struct(F.lit(0).alias("_"), *keys).alias("k"), F.col(value).alias("v")).agg(F.count("*").alias("here"))
-    span = counts.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("here").alias("n"))
-    placed = counts.join(span, "k").withColumn("cell", F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * cells), F.lit(0)))
-    before = F.coalesce(F.sum("inside").over(Window.partitionBy("k").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = placed.groupBy("k", "cell", "n").agg(F.sum("here").alias("inside")).withColumn("before", before)
-    wanted = sums.select("*", F.explode(F.array(*map(F.lit, percents))).alias("p")).withColumn("at", F.rint(F.col("p") / 100 * (F.col("n") - 1)) + 1).where("at > before and at <= before + inside")
-    upto = F.col("before") + F.sum("here").over(Window.partitionBy("k", "p").orderBy("v"))
-    found = placed.select("k", "cell", "v", "here").join(wanted, ["k", "cell"]).withColumn("upto", upto).where("upto >= at")
+    known = rows.where(F.col(value).isNotNull()).select(F.struct(F.lit(0).alias("_"), *keys).alias("k"), F.col(value).alias("v"))
+    margin = 5 / accuracy
+    around = [min(1.0, max(0.0, p / 100 + d)) for p in percents for d in (-margin, margin)]
+    span = known.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", around, accuracy).alias("around"))
+    whole = F.col("n") <= accuracy
+    span = span.select("k", "n", F.array(*[
+        F.struct(F.lit(p).alias("p"), (F.rint(F.lit(p) / 100 * (F.col("n") - 1)) + 1).alias("at"), F.when(whole, F.col("least")).otherwise(F.col("around")[2 * j]).alias("lo"), F.when(whole, F.col("most")).otherwise(F.col("around")[2 * j + 1]).alias("hi"))
+        for j, p in enumerate(percents)
+    ]).alias("ps"))
+    placed = known.groupBy("k", "v").agg(F.count("*").alias("here")).join(span, "k")
+    below = placed.groupBy("k", "n").agg(*[F.sum(F.when(F.col("v") < F.col("ps")[j]["lo"], F.col("here")).otherwise(0)).alias(f"b{j}") for j in range(len(percents))])
+    below = below.select("k", "n", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"b{j}").alias("below")) for j, p in enumerate(percents)])).alias("b")).select("k", "n", "b.*")
+    inside = placed.select("k", "v", "here", F.explode(F.filter("ps", lambda x: (F.col("v") >= x["lo"]) & (F.col("v") <= x["hi"]))).alias("x")).select("k", "v", "here", "x.p", "x.at").join(below, ["k", "p"])
+    upto = F.col("below") + F.sum("here").over(Window.partitionBy("k", "p").orderBy("v"))
+    found = inside.withColumn("upto", upto).where("upto >= at")
     return found.groupBy("k").agg(F.max("n").alias("n"), *[F.min(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents]).select(*[f"k.{c}" for c in keys], "n", *[f"p{p}" for p in percents])
 
 
+def with_next(rows: DataFrame, group: str, key: str, values: dict[str, str], block: int = 4096) -> DataFrame:
+    """rows with columns that hold those of the next row of its group, by an integer key: values maps new names to old ones.
+
+    Rows are put in order within blocks of keys; only each block's first row meets those of others, so a group that most rows have is shared by tasks.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(key) / block))
+    inside = Window.partitionBy(group, "_block").orderBy(key)
+    ahead = F.struct(*[F.col(old).alias(new) for new, old in values.items()])
+    rows = rows.withColumn("_ahead", F.lead(ahead).over(inside))
+    firsts = rows.groupBy(group, "_block").agg(F.min_by(ahead, key).alias("_first"))
+    after = firsts.select(group, "_block", F.lead("_first").over(Window.partitionBy(group).orderBy("_block")).alias("_after"))
+    same = rows.join(after.withColumnRenamed(group, "_group").withColumnRenamed("_block", "_of"), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_block") == F.col("_of")), "left")
+    found = F.coalesce("_ahead", "_after")
+    return same.select(*[c for c in rows.columns if c not in ("_block", "_ahead")], *[found[new].alias(new) for new in values])
+
+
 def hash_order(key: Column, seed: int) -> Column:
     """A seeded order of rows that every engine with md5 repeats."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))

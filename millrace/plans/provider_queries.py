@@ -20,9 +20,11 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", part(F.col("embedding")[0]).alias("first"), part(F.col("embedding")[15]).alias("last"), part(F.array_max("embedding")).alias("most"))
 
 
-@query("SELECT lang, sum(ceil(length(text) * 21.02::DOUBLE / 100))::BIGINT AS tokens, count(*) AS n FROM documents GROUP BY lang")
+@query("SELECT lang, sum(ceil(length(text) * CASE lang WHEN 'es' THEN 38.67::DOUBLE ELSE 21.02::DOUBLE END / 100))::BIGINT AS tokens, count(*) AS n FROM documents GROUP BY lang")
 def estimated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("lang", P.estimated_tokens(F.col("text"), F.col("lang")).alias("t"))
+    """Spanish stands for Arabic, which the tables lack."""
+    language = F.when(F.col("lang") == "es", "ar").otherwise(F.col("lang"))
+    rows = table(spark, sf_dir, "documents").select("lang", P.estimated_tokens(F.col("text"), language).alias("t"))
     return rows.groupBy("lang").agg(F.sum("t").alias("tokens"), F.count("*").alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import logs
 from ..functions import text as T
 from ..operators import answers as A
+from ..operators import evaluation as E
 from ..operators import questions as Q
 from ..operators import retrieval as R
 from ..functions import guards as G
@@ -35,14 +36,17 @@ def extract_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH c AS (SELECT doc_id, lang, q FROM ({_QA}) WHERE regexp_matches(q, '[?؟]$')), p AS (SELECT *, lead(q) OVER (PARTITION BY lang ORDER BY doc_id) AS q2 FROM c)
+    WITH c AS (SELECT doc_id, CASE lang WHEN 'es' THEN 'ar' ELSE lang END AS lang, CASE WHEN lang = 'es' AND doc_id % 2 = 0 THEN 'كيف ' ELSE '' END || q AS q FROM ({_QA}) WHERE regexp_matches(q, '[?؟]$')), p AS (SELECT *, lead(q) OVER (PARTITION BY lang ORDER BY doc_id) AS q2 FROM c)
     SELECT doc_id, CASE WHEN lang = 'en' THEN {T.sql_strip("regexp_replace(q, '[?؟]+$', '')")} || ', and ' || lower(left(q2, 1)) || substr(q2, 2) ELSE {T.sql_strip("regexp_replace(q, '[?؟]+$', '')")} || '، و' || q2 END AS combined,
-        'so like, ' || lower(regexp_replace(q, '\\?+$', '')) || ' or what' AS informal FROM p WHERE q2 IS NOT NULL
+        CASE WHEN lang <> 'ar' THEN 'so like, ' || lower(regexp_replace(q, '\\?+$', '')) || ' or what' WHEN contains(q, 'كيف') THEN replace(replace(q, 'كيف', 'kif'), '؟', '?') ELSE 'kif ' || q END AS informal FROM p WHERE q2 IS NOT NULL
 """)
 def rewrite_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _chunks(spark, sf_dir).select("doc_id", "lang", Q.question(F.col("text")).alias("q")).where("q is not null")
-    rows = rows.withColumn("q2", F.lead("q").over(Window.partitionBy("lang").orderBy("doc_id"))).where("q2 is not null")
-    return rows.select("doc_id", Q.combined(F.col("q"), F.col("q2"), F.col("lang")).alias("combined"), Q.informal(F.col("q"), F.lit("en")).alias("informal"))
+    """Neighbouring questions as one, and informal rewrites; Spanish stands for Arabic, which the tables lack."""
+    lang = F.when(F.col("lang") == "es", "ar").otherwise(F.col("lang"))
+    asked = F.concat(F.when((F.col("lang") == "es") & (F.col("doc_id") % 2 == 0), "كيف ").otherwise(""), Q.question(F.col("text")))
+    rows = _chunks(spark, sf_dir).select("doc_id", lang.alias("lang"), asked.alias("q")).where("q is not null")
+    rows = E.with_next(rows, "lang", "doc_id", {"q2": "q"}).where("q2 is not null")
+    return rows.select("doc_id", Q.combined(F.col("q"), F.col("q2"), F.col("lang")).alias("combined"), Q.informal(F.col("q"), F.col("lang")).alias("informal"))
 
 
 @query("SELECT item_id AS rule_id, min(doc_id) AS item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")

@@ -124,14 +124,19 @@ def decide_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", relevant.alias("relevant"), action.alias("action"), G.route(F.col("score")).alias("model"))
 
 
+_REFUSAL = " ".join(f"WHEN reason = '{r}' AND (lang = 'es') = ({int(lang == 'ar')} = 1) THEN '" + said.replace("'", "''") + "'" for (r, lang), said in G.REFUSALS.items())
+
+
 @query(f"""
     WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'no_info' WHEN 1 THEN 'out_of_domain' ELSE 'needs_account_data' END AS reason, lang FROM documents)
-    SELECT reason, lang, CASE reason WHEN 'no_info' THEN '{G.REFUSALS[("no_info", "en")]}' WHEN 'out_of_domain' THEN '{G.REFUSALS[("out_of_domain", "en")]}' ELSE '{G.REFUSALS[("needs_account_data", "en")].replace("'", "''")}' END AS message, count(*) AS n FROM r GROUP BY reason, lang
+    SELECT reason, lang, CASE {_REFUSAL} END AS message, count(*) AS n FROM r GROUP BY reason, lang
 """)
 def refusal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spanish stands for Arabic, which the tables lack."""
     i = F.col("doc_id")
     rows = table(spark, sf_dir, "documents").select(F.when(i % 3 == 0, "no_info").when(i % 3 == 1, "out_of_domain").otherwise("needs_account_data").alias("reason"), "lang")
-    return rows.groupBy("reason", "lang").agg(F.count("*").alias("n")).select("reason", "lang", G.refusal(F.col("reason"), F.col("lang")).alias("message"), "n")
+    message = G.refusal(F.col("reason"), F.when(F.col("lang") == "es", "ar").otherwise(F.col("lang")))
+    return rows.groupBy("reason", "lang").agg(F.count("*").alias("n")).select("reason", "lang", message.alias("message"), "n")
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(trim(t)) = 0 OR length(trim(t)) > 1000 THEN 400 ELSE 200 END AS status FROM (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN '  ' ELSE coalesce(text, '') END AS t FROM conversations)")

@@ -120,6 +120,26 @@ def chunk_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chunks(_questions(spark, sf_dir), "structure").select("doc_id", "chunk_index", F.length("text").alias("char_count"), F.md5("text").alias("digest"))
 
 
+_SCRIPT = "replace(replace(translate(text, 'aeiou123', 'اةأإآ١٢۳'), 'Th', 'كيف '), '.' || chr(10), '؟' || chr(10))"
+
+
+@query(f"""
+    WITH l AS (SELECT doc_id, pos, {T.sql_strip('line')} AS line FROM (SELECT doc_id, generate_subscripts({T.sql_lines('t')}, 1) AS pos, unnest({T.sql_lines('t')}) AS line FROM (SELECT doc_id, {_SCRIPT} AS t FROM documents)) WHERE {T.sql_strip('line')} <> ''),
+    c AS (SELECT *, lag(line) OVER w AS before, lead(line) OVER w AS after, regexp_split_to_array(lower(line), ' +') AS words, regexp_matches(line, '[?؟]$') AND regexp_matches(line, '{C.ARABIC_QUESTION}') AS asks FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    f AS (SELECT *, asks OR coalesce(length(line) BETWEEN 3 AND 50 AND NOT regexp_matches(line, '[.?؟:,،]$') AND (before IS NULL OR (regexp_matches(before, '[.?؟]$') AND NOT (regexp_matches(before, '[?؟]$') AND regexp_matches(before, '{C.ARABIC_QUESTION}'))))
+            AND NOT list_has_any(list_transform(words[1:3], lambda w: trim(w, '().,')), [{_IMP}]) AND line NOT IN ({_YN}) AND NOT regexp_matches(line, '[,،]')
+            AND NOT CASE WHEN regexp_matches(line, '[{T.ARABIC}]') THEN regexp_matches(words[1], '{C.ARABIC_CONNECTORS}') AND length(words[1]) <= 8 ELSE words[1] IN ({_CON}) END
+            AND length(after) >= length(line) * 1.8 AND regexp_matches(after, '[.?؟)]$') AND len(words) < 5, false) AS split FROM c),
+    g AS (SELECT *, sum(CASE WHEN before IS NOT NULL AND split THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS chunk_index FROM f)
+    SELECT doc_id, chunk_index::INT AS chunk_index, length(string_agg(line, chr(10) ORDER BY pos)) AS char_count, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM g GROUP BY doc_id, chunk_index
+""")
+def chunk_structure_arabic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in Arabic letters, some of whose lines are questions."""
+    text = F.replace(F.replace(arabic(F.col("text")), F.lit("Th"), F.lit("كيف ")), F.lit(".\n"), F.lit("؟\n"))
+    rows = _docs(spark, sf_dir).select("doc_id", text.alias("text"), F.lit("ar").alias("language"))
+    return C.chunks(rows, "structure").select("doc_id", "chunk_index", F.length("text").alias("char_count"), F.md5("text").alias("digest"))
+
+
 @query(f"""
     WITH s AS ({_STRUCTURE}), d AS (SELECT doc_id, lang FROM documents), f AS (SELECT doc_id, length(c) AS n FROM (SELECT doc_id, unnest({_FIXED}) AS c FROM documents) WHERE {T.sql_strip('c')} <> ''),
     a AS (SELECT 'fixed' AS strategy, doc_id, n FROM f UNION ALL SELECT 'structure', doc_id, char_count FROM s)

@@ -9,21 +9,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.evaluation import replace_document
-from .versions import current, publish
+from . import versions
 
 
-def upsert_stream(arriving: DataFrame, table: str, attribute: str, make: Callable[[DataFrame], DataFrame], checkpoint: str, **trigger: object) -> StreamingQuery:
-    """For each micro-batch, make(batch) replaces the rows of the Parquet table `table` that share its values of `attribute`.
+def upsert_stream(arriving: DataFrame, table: str, attribute: str, make: Callable[[DataFrame], DataFrame], checkpoint: str, keep: int = 2, **trigger: object) -> StreamingQuery:
+    """For each micro-batch, make(batch) replaces the rows of the table at `table` that share its values of `attribute`.
 
-    A batch is written beside the table as a new version, which counts once Spark has marked it complete, so a batch
-    that is run again, or fails half-way, leaves a whole table.
+    A batch reads and writes only the buckets that its values fall into, as a new version of these, which counts once
+    Spark has marked it complete; so a batch that is run again, or fails half-way, leaves a whole table. Buckets that
+    `keep` later versions have replaced are deleted. `versions.read` reads the table.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark, new = batch.sparkSession, make(batch)
-        path = current(spark, table, number)
-        rows = replace_document(spark.read.parquet(path), new, attribute)[0] if path else new
-        publish(rows, table, number)
+        spark, new = batch.sparkSession, make(batch).persist()
+        try:
+            touched = [r[0] for r in new.select(versions.bucket(attribute)).distinct().collect()]  # at most BUCKETS
+            if touched:
+                schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema)
+                old = versions.read(spark, table, schema, number, touched)
+                versions.publish(replace_document(old, new, attribute)[0], table, attribute, number)
+                versions.expire(spark, table, keep)
+        finally:
+            new.unpersist()
 
     return arriving.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

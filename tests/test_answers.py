@@ -11,6 +11,7 @@ from millrace.functions import providers as P
 from millrace.operators import answers as A
 from millrace.operators import evaluation as E
 from millrace.operators import questions as Q
+from millrace.operators import reports
 from millrace.operators import retrieval as R
 from millrace.operators import search as S
 from millrace.sources import shared, sinks
@@ -164,6 +165,17 @@ def test_experiments_and_draws(spark):
     assert n == 1 and table.count() == 2 and [r.id for r in E.chosen(spark.range(9), ids=[5, 3, 4], limit=2).collect()] == [3, 4]
 
 
+def test_reports_and_samples(spark, tmp_path):
+    table = spark.createDataFrame([("a|b", None), ("c", 1)], "x string, n int").coalesce(1)
+    assert reports.report("T", {"One": "text\n", "Two": table}) == "# T\n\n## One\n\ntext\n\n## Two\n\n| x | n |\n| - | - |\n| a\\|b |  |\n| c | 1 |\n"
+    before, after = spark.createDataFrame([("k", "abcdef"), ("m", "x")], "id string, text string"), spark.createDataFrame([("k", "abé")], "id string, text string")
+    rows = reports.samples(before, after, "id", 3)
+    assert sorted(tuple(r) for r in rows.collect()) == [("k", "after", "abé"), ("k", "before", "abc")]
+    reports.write_samples(rows, "id", str(tmp_path / "s"))
+    (file,) = (tmp_path / "s" / "id=k" / "part=after").glob("*.txt")
+    assert file.read_text("utf-8") == "abé\n"
+
+
 def test_a_shared_folder_must_be_set_on_clusters(spark):
     class Cluster:
         conf = type("C", (), {"get": staticmethod(lambda k, d=None: None)})()

@@ -17,8 +17,7 @@ from millrace.operators import lines as L
 from millrace.operators import questions as Q
 from millrace.operators import retrieval as R
 from millrace.sources import corpus, html
-from millrace.streaming import updates
-from millrace.streaming.versions import current
+from millrace.streaming import updates, versions
 
 
 def test_bm25_agrees_with_a_loop(spark):
@@ -232,7 +231,28 @@ def test_stream_replaces_documents(spark, tmp_path):
     def run(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(source)
         updates.upsert_stream(spark.readStream.schema(schema).json(source), target, "source_file", make, str(tmp_path / "state")).awaitTermination()
-        return sorted(tuple(r) for r in spark.read.parquet(current(spark, target)).collect())
-
-    assert run([(1, "a", "x"), (2, "b", "y")]) == [("a", "X"), ("b", "Y")]
-    assert run([(3, "a", "z"), (3, "a", "w")]) == [("a", "W"), ("a", "Z"), ("b", "Y")]
+        return sorted(tuple(r) for r in versions.read(spark, target, "source_file string, text string").collect())
+
+    assert run([(1, "a", "x"), (2, "b", "y"), (3, "c", "w")]) == [("a", "X"), ("b", "Y"), ("c", "W")]
+    before = versions.in_force(spark, target)
+    assert run([(3, "a", "z"), (3, "a", "w")]) == [("a", "W"), ("a", "Z"), ("b", "Y"), ("c", "W")]
+    after = versions.in_force(spark, target)
+    assert sum(before[k] != after[k] for k in before) == 1  # one bucket is written again, the others stay where they are
+    assert run([(3, "a", "v")]) == [("a", "V"), ("b", "Y"), ("c", "W")]
+    kept = [f for v in versions._versions(spark, target) for f in versions._folders(spark, v)]
+    assert len(kept) == len(before) + 1  # what was replaced twice is gone
+
+
+def test_percentiles_of_many_rows_with_far_out_values(spark):
+    r = random.Random(4)
+    rows = [("a", float(r.choice([1e300, -1e300, r.random(), round(r.random(), 2)]))) for _ in range(30_000)] + [("b", float(k % 7)) for k in range(15_000)] + [("c", 1.0), ("c", None), ("c", 2.0)]
+    got = {x.g: (x.n, x.p0, x.p50, x.p95, x.p100) for x in E.nearest_rank(spark.createDataFrame(rows, "g string, v double"), "v", (0, 50, 95, 100), "g", accuracy=1000).collect()}
+    for g in "abc":
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert got[g] == (len(v), *[v[round(p / 100 * (len(v) - 1))] for p in (0, 50, 95, 100)])
+
+
+def test_next_rows_across_blocks(spark):
+    rows = [(g, k * 3, f"{g}{k}") for g in ("x", None) for k in range(50)]
+    got = {(r.g, r.k): r.nxt for r in E.with_next(spark.createDataFrame(rows, "g string, k long, v string"), "g", "k", {"nxt": "v"}, block=10).collect()}
+    assert got == {(g, k * 3): f"{g}{k + 1}" if k < 49 else None for g in ("x", None) for k in range(50)}
