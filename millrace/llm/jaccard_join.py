@@ -148,8 +148,9 @@ def shared_counts(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros((n, n), np.float32)
     order = np.argsort(token, kind="stable")
     token, rows = token[order], rows[order]
-    width = max(256, (1 << 22) // max(n, 1))
-    for lo in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+    tokens = int(token[-1]) + 1 if len(token) else 0
+    width = min(max(256, (1 << 22) // max(n, 1)), max(tokens, 1))
+    for lo in range(0, tokens, width):
         a, b = np.searchsorted(token, [lo, lo + width])
         part = np.zeros((n, width), np.float32)
         part[rows[a:b], token[a:b] - lo] = 1
