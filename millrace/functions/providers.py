@@ -6,10 +6,14 @@ that does belongs in a job of its own that writes a table.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+import time
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from . import text as T
 
@@ -38,6 +42,45 @@ def embed(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("embedding", hashed_counts(F.col(text))).withColumn("embedding", normalized(F.col("embedding")))
 
 
+def embedded(df: DataFrame, call: Callable[[list[str]], list[tuple[int, list[float]]]], dimension: int, text: str = "text", batch: int = 32) -> DataFrame:
+    """df with `embedding` from call, which takes up to `batch` texts and gives (index, vector) of each, in any order. An answer that lacks a text, or has vectors of another length, is an error. A null text is an empty one."""
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            vectors: list[list[float]] = []
+            for lo in range(0, len(frame), batch):
+                texts = [t or "" for t in frame[text].iloc[lo : lo + batch]]
+                answer = sorted(call(texts), key=lambda a: a[0])
+                if [k for k, _ in answer] != list(range(len(texts))) or any(len(v) != dimension for _, v in answer):
+                    raise ValueError(f"the provider must give one vector of {dimension} numbers for each of {len(texts)} texts")
+                vectors += [v for _, v in answer]
+            yield frame.assign(embedding=vectors)
+
+    return df.mapInPandas(add, StructType([*df.schema.fields, StructField("embedding", ArrayType(DoubleType()))]))
+
+
+def retried(call: Callable[[], object], attempts: int = 5, wait: Callable[[float], None] = time.sleep) -> object:
+    """What call gives, tried again after an error as long as its message asks for, else two seconds more each time; the last error is raised."""
+    for attempt in range(attempts):
+        try:
+            return call()
+        except Exception as e:
+            if attempt + 1 == attempts:
+                raise
+            found = re.search(r"try again in (?:([0-9]+)m)?([0-9.]+)(ms|s)", str(e))
+            wait(int(found[1] or 0) * 60 + float(found[2]) / (1000 if found[3] == "ms" else 1) + 0.5 if found else 2.0 * (attempt + 1))
+
+
+def transliterated(df: DataFrame) -> DataFrame:
+    """Arabic and English rewrites of a question in Latin letters where there is no translator: itself."""
+    return df.withColumns({"arabic": F.col("question"), "english": F.col("question")})
+
+
+def unjudged(df: DataFrame, checks: tuple[str, ...] = ("faithfulness", "relevance", "completeness", "language_quality")) -> DataFrame:
+    """Scores of an answer where there is no judge: null, which means pass over."""
+    return df.withColumns({c: F.lit(None).cast("double") for c in checks})
+
+
 def estimated_tokens(text: Column, language: Column) -> Column:
     """Tokens by the measured ratio for the language; English for others."""
     ratio = F.when(language == "ar", TOKENS_PER_100["ar"]).otherwise(TOKENS_PER_100["en"])

@@ -17,7 +17,7 @@ from ..operators import search as S
 from ..sources.tables import SQL_ARABIC, arabic, spread, table
 from .provider_queries import _COUNTS
 from .registry import query
-from .retrieval_queries import _BM25, _OVERLAP
+from .retrieval_queries import _BM25, _OVERLAP, _Q
 from .text_queries import _FIXED, _PACKED
 
 _UNIT = "CASE WHEN list_sum(v) = 0 THEN v ELSE list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) END"
@@ -240,3 +240,52 @@ def adjacent_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, n = E.delete_where(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "src1")
     return kept.agg(F.lit(n).cast("long").alias("deleted"), F.count("*").alias("kept"))
+
+
+_REWRITTEN = "SELECT item_id AS query_id, CASE item_id % 2 WHEN 0 THEN 'so like, ' || lower(text) || ' or what' ELSE text END AS text FROM benchmark"
+
+
+@query(f"""
+    WITH {_BM25.replace(_Q, _REWRITTEN)}, gold AS MATERIALIZED (SELECT item_id AS id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+    f AS (SELECT item_id AS id, item_id % 2 = 0 AS rewritten, (SELECT min(rank) FROM rk JOIN gold ON gold.doc_id = rk.doc_id AND gold.id = rk.query_id WHERE rk.query_id = item_id AND rank <= 10) AS first FROM benchmark)
+    SELECT rewritten, count(*) AS n, round(avg(coalesce(1.0 / first, 0)), 6)::DOUBLE AS mrr, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS hit_5 FROM f GROUP BY rewritten
+""")
+def rewritten_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranking metrics of searches with rewritten questions, by whether the rewrite differs from the question."""
+    bench, docs, i = table(spark, sf_dir, "benchmark"), _docs(spark, sf_dir), F.col("item_id")
+    asked = bench.select(i.alias("query_id"), F.col("text").alias("question"), F.when(i % 2 == 0, Q.informal(F.col("text"), F.lit("en"))).otherwise(F.col("text")).alias("text"))
+    found = R.bm25(docs, asked.select("query_id", "text"), 10).select(F.col("query_id").alias("id"), "rank", "doc_id")
+    gold = Q.containing(bench.select(i.alias("rule_id"), F.col("text").alias("part")), docs.withColumnRenamed("doc_id", "item_id")).select(F.col("rule_id").alias("id"), F.col("item_id").alias("doc_id"))
+    rows = E.ranking_metrics(asked.select(F.col("query_id").alias("id"), (F.col("question") != F.col("text")).alias("rewritten")), found, gold)
+    return rows.groupBy("rewritten").agg(F.count("*").alias("n"), F.round(F.avg("mrr"), 6).alias("mrr"), F.round(F.avg("hit_5"), 6).alias("hit_5"))
+
+
+@query(f"WITH {_BM25}, {_VECTOR} SELECT query_id, rank, doc_id, score, replace(left(text, 100), chr(10), ' ') AS preview FROM vr JOIN documents USING (doc_id) WHERE rank <= 5")
+def search_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest documents of each question with the beginning of their text."""
+    near, _ = _sides(spark, sf_dir)
+    return near(_asked(spark, sf_dir), 5).join(_docs(spark, sf_dir), "doc_id").select("query_id", "rank", "doc_id", "score", Q.preview(F.col("text")).alias("preview"))
+
+
+@query("""
+    WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS a, list_transform(embedding, lambda x: CASE WHEN vec_id % 50 = 0 THEN 0 ELSE abs(x)::DOUBLE END) AS b FROM embeddings)
+    SELECT vec_id, round(coalesce(list_sum(list_transform(range(1, len(a) + 1), lambda i: a[i] * b[i])) / nullif(sqrt(list_sum(list_transform(a, lambda x: x * x))) * sqrt(list_sum(list_transform(b, lambda x: x * x))), 0), 0), 6) AS cosine FROM e
+""")
+def cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector with its absolute values, or with zeros."""
+    other = F.transform("embedding", lambda x: F.when(F.col("vec_id") % 50 == 0, 0.0).otherwise(F.abs(x)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(R.cosine(F.col("embedding"), other), 6).alias("cosine"))
+
+
+@query(f"""
+    WITH q AS (SELECT doc_id, lang, source AS topic, doc_id % 10 AS chunk_index, {T.sql_strip("string_split(replace(text, '.' || chr(10), '?' || chr(10)), chr(10))[1]")} AS asked FROM documents),
+    f AS (SELECT lang, topic, chunk_index, min(doc_id) AS id FROM q WHERE ends_with(asked, '?') GROUP BY ALL)
+    SELECT a.topic, a.chunk_index, a.id AS en_id, b.id AS fr_id FROM f a JOIN f b USING (topic, chunk_index) WHERE a.lang = 'en' AND b.lang = 'fr' ORDER BY topic, chunk_index LIMIT 20
+""")
+def matched_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty pairs of questions in two languages with one topic and index; what asks nothing has no pair."""
+    text = F.replace("text", F.lit(".\n"), F.lit("?\n"))
+    asked = table(spark, sf_dir, "documents").where(Q.question(text).isNotNull())
+    first = asked.groupBy("lang", F.col("source").alias("topic"), (F.col("doc_id") % 10).alias("chunk_index")).agg(F.min("doc_id").alias("id"))
+    side = lambda x: first.where(F.col("lang") == x).select("topic", "chunk_index", F.col("id").alias(f"{x}_id"))
+    return side("en").join(side("fr"), ["topic", "chunk_index"]).orderBy("topic", "chunk_index").limit(20)

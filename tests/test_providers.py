@@ -50,3 +50,32 @@ def test_requests_and_ask(spark):
     got = {r.query_id: r for r in Q.ask(asked, verdicts, ranked).collect()}
     assert [(got[k].action, got[k].status, got[k].language, got[k].model) for k in range(1, 6)] == [("answer_normally", 200, "en", "small"), ("invalid", 400, "en", None), ("too_vague", 200, "en", None), ("answer_normally", 200, "ar", "main"), ("no_info", 200, "en", None)]
     assert got[1].sources == ["a", "b"] and got[5].sources is None
+
+
+def test_embeddings_are_put_in_order_and_checked(spark):
+    rows = spark.createDataFrame([(k, "x" * k if k % 5 else None) for k in range(70)], "id int, text string")
+    got = {r.id: r.embedding for r in P.embedded(rows, lambda texts: [(k, [float(len(t)), float(len(texts))]) for k, t in reversed(list(enumerate(texts)))], 2).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: float(k if k % 5 else 0) for k in range(70)} and max(v[1] for v in got.values()) <= 32
+    for bad in (lambda texts: [], lambda texts: [(0, [1.0])] * len(texts)):
+        with pytest.raises(Exception, match="one vector of 2 numbers"):
+            P.embedded(rows, bad, 2).collect()
+
+
+def test_calls_are_tried_again():
+    waited, errors = [], ["Please try again in 1m2.5s", "try again in 250ms", "busy"]
+
+    def call():
+        if errors:
+            raise RuntimeError(errors.pop(0))
+        return "done"
+
+    assert P.retried(call, wait=waited.append) == "done" and waited == [63.0, 0.75, 6.0]
+    with pytest.raises(ZeroDivisionError):
+        P.retried(lambda: 1 / 0, attempts=2, wait=waited.append)
+
+
+def test_display_score_and_defaults(spark):
+    rows = spark.createDataFrame([(0.1, None, None), (0.1, 0.2, None), (0.1, 0.2, 0.3)], "score double, rrf_score double, rerank_score double").coalesce(1)
+    assert [r[0] for r in rows.select(P.display_score(rows)).collect()] == [0.1, 0.2, 0.3] and [r[0] for r in rows.select("score").select(P.display_score(rows.select("score"))).collect()] == [0.1] * 3
+    asked = spark.createDataFrame([("shu",)], "question string")
+    assert P.transliterated(asked).first().asDict() == {"question": "shu", "arabic": "shu", "english": "shu"} and set(P.unjudged(asked).first()[1:]) == {None}
