@@ -268,7 +268,7 @@ def test_toxicity_ratios_agree_with_plain_counting(spark):
     table = spark.createDataFrame([(k, " ".join(w)) for k, (w, _) in enumerate(texts)], "doc_id long, text string")
     known = spark.createDataFrame([(k, int(c == "t")) for k, (_, c) in enumerate(texts)], "doc_id long, toxic int")
     for discounts in ((1.5, 2.0), (3.0, 6.0)):
-        model = toxicity.combine(toxicity.count(table, known, *discounts), *discounts)
+        model = toxicity.combine(toxicity.count(table, known, *discounts))
         p, vocabulary = brute_model([x for x in texts if x[0]], *discounts)
         for c in "to":
             for v in ("<", "a", "you", "bad", "be", "r1"):
@@ -281,6 +281,18 @@ def test_toxicity_ratios_agree_with_plain_counting(spark):
         assert len(model.pairs.keys) > 2
 
 
+def test_toxicity_models_are_bounded(spark, monkeypatch):
+    """With more expressions than MODEL_ROWS, discounts are doubled until they fit."""
+    table = spark.createDataFrame([(i, " ".join(f"{'t' if i % 2 else 'o'}{k} x{i % 50}" for k in range(i % 40))) for i in range(600)], "doc_id long, text string")
+    known = table.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    whole = toxicity.count(table, known)
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 10)
+    few = toxicity.count(table, known)
+    assert few.word_discount > whole.word_discount == toxicity.WORD_DISCOUNT and few.pair_discount / few.word_discount == whole.pair_discount / whole.word_discount
+    model = toxicity.combine(few)
+    assert (model.words.values != model.words.other).sum() <= 10 + 2 * len(model.pairs.keys) < (toxicity.combine(whole).words.values != model.words.other).sum()
+
+
 def test_toxicity_ratio_is_normalised_by_length(spark):
     model = toxicity.Model(toxicity.Table(np.zeros(0, np.uint64), np.zeros(0), -0.5), toxicity.Table(np.zeros(0, np.uint64), np.zeros(0), np.nan), toxicity.Curve())
     assert toxicity.ratios(pa.array(["a b", "a " * 1000, "", None, " . "]), model).tolist() == pytest.approx([-0.5, -0.5, 0, 0, 0])
