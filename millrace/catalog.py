@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import evaluation_queries, provider_queries, question_queries, retrieval_queries, search_queries, text_queries  # noqa: F401  register their queries
+from .plans import evaluation_queries, provider_queries, question_queries, retrieval_queries, search_queries, source_queries, text_queries  # noqa: F401  register their queries
 from .plans.registry import ORACLES, QUERIES, Query
 
 

@@ -87,7 +87,19 @@ def merge_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("l").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("digest"))
 
 
-@query()
+def _sql_splits(line: str) -> str:
+    """Whether a line is a heading and its content."""
+    words = lambda x: f"len(list_filter(regexp_split_to_array({x}, '{T.SPACE}+'), lambda w: w <> ''))"
+    part = lambda pattern, k: T.sql_strip(f"regexp_extract({line}, '{pattern}', {k})")
+    general = part(Q.GENERAL_HEADING, 1)
+    tests = [f"({general} <> '' AND {words(general)} <= 6 AND NOT regexp_matches({general}, '[.?!:,;]$'))"]
+    for start in Q.CONTENT_STARTS:
+        pattern = rf"(?i)^(.{{3,60}}?)\s+({start}\b.+)$"
+        tests.append(f"({part(pattern, 1)} <> '' AND {words(part(pattern, 1))} <= 8 AND {words(part(pattern, 2))} >= 3)")
+    return "(" + " OR ".join(tests) + ")"
+
+
+@query(f"SELECT doc_id, count(*) AS n_lines, count_if({_sql_splits('line')})::BIGINT AS n_split FROM (SELECT doc_id, 'Data offer ' || unnest({T.sql_lines('text')}) AS line FROM documents) GROUP BY doc_id")
 def split_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
     parts = lines.select("doc_id", "pos", Q.split_heading(F.concat(F.lit("Data offer "), F.col("line"))).alias("p"))

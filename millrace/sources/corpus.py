@@ -33,6 +33,22 @@ def path_language(path: Column) -> Column:
     return F.when(F.array_contains(parts, "ar"), "ar").when(F.array_contains(parts, "en"), "en").otherwise("unknown")
 
 
+def path_format(path: Column) -> Column:
+    """The suffix in lower case, without its dot; empty without one."""
+    return F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+
+
+def path_topic(path: Column) -> Column:
+    """The file's name without its suffix."""
+    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+
+def is_read(path: Column) -> Column:
+    """Whether a file is one to read: neither hidden nor named empty or scanned."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return ~(name.startswith(".") | F.lower(name).contains("empty") | F.lower(name).contains("scanned"))
+
+
 @dataclass(frozen=True)
 class SavedPage:
     """What marks lines of the frame in documents saved from a site: two sets of exact lines, and parts in lower case. They are the site's, so empty unless a caller gives them."""
@@ -92,16 +108,15 @@ def read_corpus(spark: SparkSession, root: str, page: SavedPage = SavedPage(), c
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", r"^[a-z]+:/+(?=/)|^file:(?=/)", "")
-    name = F.element_at(F.split("path", "/"), -1)
-    kept = files.where(~name.startswith(".") & ~F.lower(name).contains("empty") & ~F.lower(name).contains("scanned"))
+    kept = files.where(is_read(F.col("path")))
     base = "/" + root.split(":", 1)[-1].strip("/") + "/"
     relative = F.replace(path, F.lit(base), F.lit(""))
-    kind = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
+    kind = path_format(F.col("path"))
     rows = kept.select(relative.alias("source_file"), kind.alias("source_format"), "content").withColumn("r", read("content", "source_format"))
     text = F.coalesce("r.text", F.lit(""))
     text = F.when(F.lit(clean) & T.has_arabic(text), T.normalize_arabic(text)).otherwise(text)
     return rows.select(
-        doc_id(F.col("source_file"), F.col("content")).alias("doc_id"), text.alias("text"), path_language(F.col("source_file")).alias("language"), F.regexp_extract("source_file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("topic"),
+        doc_id(F.col("source_file"), F.col("content")).alias("doc_id"), text.alias("text"), path_language(F.col("source_file")).alias("language"), path_topic(F.col("source_file")).alias("topic"),
         "source_file", "source_format", F.lit(None).cast("string").alias("section_heading"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("ingestion_date"),
         F.when(F.col("r.reject_reason").isNull(), "ok").otherwise("rejected").alias("status"), F.col("r.reject_reason").alias("reject_reason"),
     )
