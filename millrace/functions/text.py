@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,10 +13,13 @@ SPACE = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x
 SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 # White space other than line breaks, and runs of it that aren't one plain space.
 _GAP = r"\t\x1F\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
+GAPS = tuple(map(chr, [0x09, 0x1F, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
+BREAKS = tuple(map(chr, [0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029]))
 SPACES_BUT_PLAIN = r"\t-\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 UNEVEN_GAP = rf"[{_GAP} ]{{2,}}|[{_GAP}]"
 ALEF_FORMS, TATWEEL = "إأآٱ", "ـ"
 DIACRITICS = r"[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}]"
+MARKS = "".join(map(chr, [*range(0x0610, 0x061B), *range(0x064B, 0x0660), 0x0670, *range(0x06D6, 0x06EE)]))
 DIGITS_FROM, DIGITS_TO = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"
 ARABIC = r"\x{0600}-\x{06FF}"
 TOKEN = rf"\*[0-9]+(?:\*[0-9]+)*#|[\p{{L}}\p{{N}}_{ARABIC}]+"
@@ -38,6 +43,11 @@ NUMBER_ONLY = r"^[0-9]{1,4}[.)]?$"
 SHORT_LINE = 100
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x found once however often f uses it: expressions that stand in several branches are else evaluated in each."""
+    return F.transform(F.array(x), lambda y: f(y))[0]
+
+
 def strip(x: Column) -> Column:
     """Without white space (any Unicode kind) at the ends."""
     return F.btrim(x, F.lit(SPACES))
@@ -53,6 +63,14 @@ def even(x: Column) -> Column:
     return F.regexp_replace(x, rf"[{SPACES_BUT_PLAIN}]{SPACE}*| {SPACE}+", " ")
 
 
+def _holds(x: Column, *parts: str) -> Column:
+    """Whether a text holds one of these. Searches for strings take a fraction of the time of patterns, which then run on few texts."""
+    found = F.lit(False)
+    for p in parts:
+        found = found | x.contains(p)
+    return found
+
+
 def has_arabic(x: Column) -> Column:
     return x.rlike(f"[{ARABIC}]")
 
@@ -63,11 +81,13 @@ def normalize_arabic(x: Column) -> Column:
     All letters, digits and marks that change are in one block of Unicode, so texts without it skip these steps.
     """
     x = F.coalesce(x, F.lit(""))
-    y = F.translate(x, ALEF_FORMS + "ة" + DIGITS_FROM + TATWEEL, "ا" * len(ALEF_FORMS) + "ه" + DIGITS_TO)
-    x = F.when(has_arabic(x), F.regexp_replace(y, DIACRITICS, "")).otherwise(x)
+    y = F.translate(x, ALEF_FORMS + "ة" + DIGITS_FROM + TATWEEL + MARKS, "ا" * len(ALEF_FORMS) + "ه" + DIGITS_TO)  # what has no counterpart goes
+    x = F.when(has_arabic(x), y).otherwise(x)
     # Gaps within lines become one space, then line breaks with all that surrounds them become one break.
-    x = F.regexp_replace(F.regexp_replace(x, UNEVEN_GAP, " "), rf" +(?={LINE_BREAK}|$)|(?:{LINE_BREAK})(?: |{LINE_BREAK})+|[\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]", "\n")
-    return F.btrim(F.regexp_replace(x, r"\n{2,}", "\n"), F.lit(" \n"))
+    x = once(x, lambda y: F.when(_holds(y, "  ", *GAPS), F.regexp_replace(y, UNEVEN_GAP, " ")).otherwise(y))
+    ends = rf" +(?={LINE_BREAK}|$)|(?:{LINE_BREAK})(?: |{LINE_BREAK})+|[\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]"
+    x = once(x, lambda y: F.when(_holds(y, " \n", "\n ", "\n\n", *BREAKS), F.regexp_replace(F.regexp_replace(y, ends, "\n"), r"\n{2,}", "\n")).otherwise(y))
+    return F.btrim(x, F.lit(" \n"))
 
 
 def normalize_line(x: Column) -> Column:
@@ -119,10 +139,13 @@ def tokens(x: Column, stemmed: bool = True) -> Column:
 
     Splitting takes time linear in the text, extracting all matches copies it for each; so only texts with a short code are extracted from.
     """
-    x = F.lower(normalize_arabic(x))
-    split = F.array_remove(F.split(x, NO_TOKEN), "")
-    found = F.when(x.contains("*") & x.rlike(CODE), F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0))).otherwise(split)
-    return F.when(has_arabic(x), F.transform(found, stem)).otherwise(found) if stemmed else found
+
+    def found(x: Column) -> Column:
+        split = F.array_remove(F.split(x, NO_TOKEN), "")
+        all_ = F.when(x.contains("*") & x.rlike(CODE), F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0))).otherwise(split)
+        return F.when(has_arabic(x), F.transform(all_, stem)).otherwise(all_) if stemmed else all_
+
+    return once(F.lower(normalize_arabic(x)), found)
 
 
 def _count(x: Column, kind: str) -> Column:
