@@ -16,10 +16,15 @@ with 4 for the curve, of which the driver gets counts by ratio and class alone.
 Null texts are empty; a text without words has ratio 0. Without rows of both classes, ratios are 0 and the score is the
 share of toxic rows, or 0 without rows. An id labelled twice is toxic if any of its labels is. Labels, lang, source and doc_id
 are no inputs of a score, nor are other columns.
+
+The model holds every expression that a class keeps. Up to MODEL_ROWS of them (and the ends of such pairs) go to the driver
+and to all workers. For more, Spark computes the same ratios, and workers look them up in files of the shared folder, of
+which a worker holds one at a time.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +41,10 @@ from .jaccard_join import of_ids
 #: Discounts of continuation counts and of pair counts; for the larger class they are larger in proportion.
 WORD_DISCOUNT, PAIR_DISCOUNT = 3.0, 30.0
 RATIO = 5.0
-#: Bounds of the model that goes to all workers: with more expressions than this, discounts are doubled.
+#: Bounds of the model that goes to all workers, and of a file of it: with more expressions than this, it stays in files.
 MODEL_ROWS = 1_000_000
+#: How many bytes of text are looked up at once where the model is in files, as each is read anew for them.
+FILED_BYTES = 1 << 22
 FOLDS, FIT, TUNE = 5, (1, 2, 3), (4,)
 #: Ratios are counted for the curve in steps of this size, up to a bound.
 STEP, BOUND = 0.0005, 4.0
@@ -64,6 +71,26 @@ class Table:
         return np.where(self.keys[at] == keys, self.values[at], self.other)
 
 
+@dataclass
+class Filed:
+    """A table in files of keys in order and then their values, each key in one file. One file at a time is read."""
+
+    files: list[str]
+    other: float
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        wanted, at = np.unique(keys, return_inverse=True)
+        out = np.full(len(wanted), self.other)
+        for file in self.files if len(wanted) else []:
+            fs, name = shared.file_system(file)
+            with fs.open_input_file(name) as source:
+                data = source.read()
+            held, values = np.frombuffer(data, "<u8", len(data) // 16), np.frombuffer(data, "<f8", offset=len(data) // 2)
+            place = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+            out = np.where(held[place] == wanted, values[place], out)
+        return out[at]
+
+
 @dataclass
 class Curve:
     """A logistic curve, rising or level, of u / (1 + |u|), where u is a ratio's distance from middle in units of spread. So no ratio, however far out, moves the curve much."""
@@ -82,10 +109,15 @@ class Curve:
 class Model:
     """Log ratios of words by themselves, and of the pairs that a class keeps (nan for others)."""
 
-    words: Table
-    pairs: Table
+    words: Table | Filed
+    pairs: Table | Filed
     curve: Curve
 
+    @property
+    def slice_bytes(self) -> int:
+        """How many bytes of text to look up at once."""
+        return FILED_BYTES if isinstance(self.words, Filed) else T.SLICE_BYTES
+
 
 def _words(text: pa.Array) -> T.Runs:
     data, offsets = T.text_bytes(text)
@@ -126,8 +158,15 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ratios(text: pa.Array, model: Model) -> np.ndarray:
     """The log-likelihood ratio of each text, divided by its length."""
-    before, word, row = _pairs(text)
-    out = model.pairs[_both(before, word)]
+    places, start = [], 0
+    for part in T.slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text"):
+        before, word, row = _pairs(part["text"])
+        places.append((_both(before, word), word, row + start))
+        start += part.num_rows
+    if not places:
+        return np.zeros(0)
+    pair, word, row = map(np.concatenate, zip(*places))
+    out = model.pairs[pair]
     out = np.where(np.isnan(out), model.words[word], out)  # both classes leave the same part to backoff
     return np.bincount(row, out, len(text)) / np.maximum(np.bincount(row, minlength=len(text)), 1)
 
@@ -219,8 +258,8 @@ def combine(counts: Counts) -> Model:
     return Model(word_ratio, Table(keys, np.log(after["t"]) - np.log(after["o"]), np.nan), Curve())
 
 
-def count(docs: DataFrame, known: DataFrame, word_discount: float = WORD_DISCOUNT, pair_discount: float = PAIR_DISCOUNT) -> Counts:
-    """Counts over all rows of docs whose id is in known (doc_id, toxic). A pair's two ends may each be kept by its own right only if both words are candidates."""
+def expressions(docs: DataFrame, known: DataFrame, word_discount: float = WORD_DISCOUNT, pair_discount: float = PAIR_DISCOUNT) -> tuple[DataFrame, dict[str, int]]:
+    """Counts over all rows of docs whose id is in known (doc_id, toxic): of all words (v is null) and pairs v w that some class may keep and of the ends of such pairs, and sums over all words."""
     rows = of_ids(docs, known).select("text", "toxic").mapInArrow(contexts, "before long, word long, t int, o int")
     pairs = rows.groupBy("word", "before").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     one = lambda c: F.when(c, 1).otherwise(0).cast("long")
@@ -235,29 +274,111 @@ def count(docs: DataFrame, known: DataFrame, word_discount: float = WORD_DISCOUN
     # A word that can't be its class's own may yet be a context or an end of a pair that is: those have plain counts above the pair discount.
     keep = (F.col("nt") > word_discount) | (F.col("no") > word_discount) | (F.col("t") > pair_discount) | (F.col("o") > pair_discount)
     found = shared.written(found.where(F.col("w").isNull() | F.col("v").isNotNull() | keep), "expressions")
-    # Of these, only what can be kept by a class, and the ends of such pairs, goes to the driver.
     sums = found.where("w is null").first()
     sums = {k: (sums[k] if sums else 0) or 0 for k in ("nt", "no", "n")}
+    return found, sums
+
+
+def _own(found: DataFrame, sums: dict[str, int], word_discount: float, pair_discount: float) -> tuple[Column, DataFrame, int]:
+    """Whether a class may keep a word, the pairs that one may keep, and the number of both."""
+    words = found.where("w is not null and v is null")
+    own_word = _may_keep("nt", "no", F.lit(sums["nt"] / sums["no"]), word_discount)
+    ends = words.select(F.col("w").alias("v"), F.col("t").alias("vt"), F.col("o").alias("vo"))
+    own_pair = found.where("v is not null").select("v", "w", "t", "o").join(ends, "v").where(_may_keep("t", "o", F.expr("try_divide(vt, vo)"), pair_discount)).select("v", "w", "t", "o")
+    return own_word, own_pair, words.where(own_word).count() + own_pair.count()
+
+
+def _collected(found: DataFrame, sums: dict[str, int], own_word: Column, own_pair: DataFrame, word_discount: float, pair_discount: float) -> Counts:
+    """Only what can be kept by a class, and the ends of such pairs, goes to the driver."""
     words = found.where("w is not null and v is null")
-    empty = Counts(pd.DataFrame({k: np.zeros(0, np.int64) for k in ("word", "nt", "no", "n", "t", "o")}), pd.DataFrame({k: np.zeros(0, np.int64) for k in ("before", "word", "t", "o")}), sums)
-    if not sums["nt"] or not sums["no"]:
-        return empty
-    times = sums["nt"] / sums["no"]
-    while True:
-        own_word = _may_keep("nt", "no", F.lit(times), word_discount)
-        ends = words.select(F.col("w").alias("v"), F.col("t").alias("vt"), F.col("o").alias("vo"))
-        own_pair = found.where("v is not null").select("v", "w", "t", "o").join(ends, "v").where(_may_keep("t", "o", F.expr("try_divide(vt, vo)"), pair_discount)).select("v", "w", "t", "o")
-        n = words.where(own_word).count() + own_pair.count()
-        if n <= MODEL_ROWS:
-            break
-        word_discount, pair_discount = 2 * word_discount, 2 * pair_discount
     kept_pairs = own_pair.toPandas().rename(columns={"v": "before", "w": "word"}).sort_values(["before", "word"], ignore_index=True)
     wanted = np.unique(np.concatenate([kept_pairs["before"], kept_pairs["word"]])).tolist()
-    chosen = words.where(own_word) if not wanted else words.join(F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in wanted], "end long")), F.col("w") == F.col("end"), "left").where(own_word | F.col("end").isNotNull())
+    chosen = words.where(own_word) if not wanted else words.join(F.broadcast(found.sparkSession.createDataFrame([(int(x),) for x in wanted], "end long")), F.col("w") == F.col("end"), "left").where(own_word | F.col("end").isNotNull())
     kept_words = chosen.select(F.col("w").alias("word"), "nt", "no", "n", "t", "o").toPandas().sort_values("word", ignore_index=True)
     return Counts(kept_words, kept_pairs, sums, word_discount, pair_discount)
 
 
+def count(docs: DataFrame, known: DataFrame, word_discount: float = WORD_DISCOUNT, pair_discount: float = PAIR_DISCOUNT) -> Counts:
+    """Counts for a model of at most MODEL_ROWS expressions: discounts are doubled until they fit, which leaves out what is rarer. For callers that need all of it in memory; `fit` never doubles them."""
+    found, sums = expressions(docs, known, word_discount, pair_discount)
+    if not sums["nt"] or not sums["no"]:
+        return Counts(pd.DataFrame({k: np.zeros(0, np.int64) for k in ("word", "nt", "no", "n", "t", "o")}), pd.DataFrame({k: np.zeros(0, np.int64) for k in ("before", "word", "t", "o")}), sums)
+    while True:
+        own_word, own_pair, n = _own(found, sums, word_discount, pair_discount)
+        if n <= MODEL_ROWS:
+            return _collected(found, sums, own_word, own_pair, word_discount, pair_discount)
+        word_discount, pair_discount = 2 * word_discount, 2 * pair_discount
+
+
+def _kept(mine: str, other: str, of_mine: Column, of_other: Column, discount: float) -> Column:
+    """`own` as a column."""
+    times = F.try_divide(of_mine, of_other)
+    left = F.col(mine) - discount * F.greatest(F.coalesce(times, F.lit(1.0)), F.lit(1.0))
+    return F.when((left > 0) & (left > RATIO * (F.col(other) * F.coalesce(times, F.lit(0.0)))), left).otherwise(0.0)
+
+
+def _kept_sum(mine: str, of_mine: Column, of_other: Column, discount: float) -> Column:
+    """The sum of what `_kept` gave (in kept_t or kept_o) over expressions with the same of_mine and of_other; from whole numbers, so it doesn't depend on the order."""
+    kept = F.col(f"kept_{mine[-1]}") > 0
+    return F.coalesce(F.sum(F.when(kept, F.col(mine))), F.lit(0)) - F.count_if(kept) * discount * F.greatest(F.coalesce(F.try_divide(F.first(of_mine), F.first(of_other)), F.lit(1.0)), F.lit(1.0))
+
+
+def _file(rows: DataFrame, n: int, other: float, name: str) -> Filed:
+    """n rows of v (null for words), w and value in files of at most MODEL_ROWS."""
+    most, folder = MODEL_ROWS, shared.new_folder(rows.sparkSession, name)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = shared.file_system(folder)
+        keys, values, files = np.zeros(0, "<u8"), np.zeros(0, "<f8"), []
+
+        def flush() -> None:
+            order = np.argsort(keys[:most])
+            files.append(f"{uuid.uuid4().hex}.ratios")
+            fs.create_dir(root, recursive=True)
+            with fs.open_output_stream(f"{root}/{files[-1]}", compression=None) as sink:
+                sink.write(keys[order].tobytes() + values[order].tobytes())
+
+        for batch in batches:
+            word = np.asarray(batch["w"]).view(np.uint64)
+            keys = np.concatenate([keys, word if batch["v"].null_count else _both(np.asarray(batch["v"]).view(np.uint64), word)])
+            values = np.concatenate([values, np.asarray(batch["value"])])
+            while len(keys) >= most:
+                flush()
+                keys, values = keys[most:], values[most:]
+        if len(keys):
+            flush()
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string())], ["file"])
+
+    manifest = shared.written(rows.select("v", "w", "value").repartition(-(-n // most) or 1, "w", "v").mapInArrow(write, "file string"), f"{name}-manifest")
+    return Filed([f"{folder}/{r.file}" for r in manifest.orderBy("file").collect()], other)
+
+
+def filed(found: DataFrame, sums: dict[str, int], word_discount: float = WORD_DISCOUNT, pair_discount: float = PAIR_DISCOUNT) -> Model:
+    """What `combine` gives for counts of all expressions, computed by Spark and left in files, whatever their number. The driver gets sums and names of files."""
+    total = {"t": F.lit(sums["nt"]), "o": F.lit(sums["no"])}
+    classes = (("t", "o"), ("o", "t"))
+    words = found.where("w is not null and v is null").select("w", "nt", "no", "n", "t", "o", *[_kept(f"n{c}", f"n{d}", total[c], total[d], word_discount).alias(f"kept_{c}") for c, d in classes])
+    kept = words.agg(F.count_if(F.expr("kept_t > 0 or kept_o > 0")).alias("n"), *[_kept_sum(f"n{c}", total[c], total[d], word_discount).alias(c) for c, d in classes]).first()
+    free = {c: 1 - kept[c] / sums[f"n{c}"] for c in "to"}
+    rest = float(np.log(free["t"]) - np.log(free["o"]))
+    shared_part = F.greatest(F.col("n") - 0.75, F.lit(0.0)) / sums["n"]
+    words = words.select("w", "t", "o", "kept_t", "kept_o", *[(F.col(f"kept_{c}") / total[c] + free[c] * shared_part).alias(f"alone_{c}") for c in "to"])
+    own_words = words.where("kept_t > 0 or kept_o > 0").select(F.lit(None).cast("long").alias("v"), "w", F.expr("ln(alone_t) - ln(alone_o)").alias("value"))
+
+    ends = words.select(F.col("w").alias("v"), F.col("t").alias("vt"), F.col("o").alias("vo"))
+    of = {"t": F.col("vt"), "o": F.col("vo")}
+    pairs = found.where("v is not null").select("v", "w", "t", "o").join(ends, "v")
+    pairs = pairs.select("*", *[_kept(c, d, of[c], of[d], pair_discount).alias(f"kept_{c}") for c, d in classes]).where("kept_t > 0 or kept_o > 0")
+    pairs = shared.written(pairs, "kept_pairs")
+    per_context = pairs.groupBy("v").agg(*[_kept_sum(c, of[c], of[d], pair_discount).alias(f"context_{c}") for c, d in classes])
+    pairs = pairs.join(per_context, "v").join(words.select("w", "alone_t", "alone_o"), "w")
+    pooled, pooled_context = F.col("kept_t") + F.col("kept_o"), F.col("context_t") + F.col("context_o")
+    left = 1 - pooled_context / F.greatest(F.col("vt") + F.col("vo"), F.lit(1))
+    after = {c: (1 - left) * (F.col(f"kept_{c}") + pair_discount * pooled / pooled_context) / (F.col(f"context_{c}") + pair_discount) + left * F.col(f"alone_{c}") for c in "to"}
+    own_pairs = pairs.select("v", "w", (F.ln(after["t"]) - F.ln(after["o"])).alias("value"))
+    return Model(_file(own_words, kept["n"], rest, "word_ratios"), _file(own_pairs, pairs.count(), np.nan, "pair_ratios"), Curve())
+
+
 def _may_keep(t: str, o: str, times: Column, discount: float, ratio: float = RATIO) -> Column:
     """Whether either class keeps an expression with counts t and o, whose contexts are `times` as many in toxic texts; null if only one class has any."""
     mine = lambda a, b, q: F.col(a) - discount * F.greatest(F.coalesce(q, F.lit(1.0)), F.lit(1.0)) > F.greatest(ratio * F.col(b) * F.coalesce(q, F.lit(0.0)), F.lit(0.0))
@@ -266,15 +387,16 @@ def _may_keep(t: str, o: str, times: Column, discount: float, ratio: float = RAT
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = known_ids(labels)
-    counts = count(docs, known.where(fold().isin(*FIT)))
-    if not counts.sums["nt"] or not counts.sums["no"]:
+    found, sums = expressions(docs, known.where(fold().isin(*FIT)))
+    if not sums["nt"] or not sums["no"]:
         share = of_ids(docs, known).agg(F.avg("toxic")).first()[0] or 0.0
         nothing = Table(np.zeros(0, np.uint64), np.zeros(0), 0.0)
         return Model(nothing, Table(nothing.keys, nothing.values, np.nan), level_curve(share))
-    model = combine(counts)
+    own_word, own_pair, n = _own(found, sums, WORD_DISCOUNT, PAIR_DISCOUNT)
+    model = combine(_collected(found, sums, own_word, own_pair, WORD_DISCOUNT, PAIR_DISCOUNT)) if n <= MODEL_ROWS else filed(found, sums)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.slices(batches, "text"):
+        for part in T.slices(batches, "text", model.slice_bytes):
             step = np.rint(np.clip(ratios(part["text"], model), -BOUND, BOUND) / STEP).astype(np.int64)
             yield pa.RecordBatch.from_arrays([part["toxic"], pa.array(step)], ["toxic", "step"])
 
@@ -292,7 +414,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.slices(batches, "text"):
+        for part in T.slices(batches, "text", model.slice_bytes):
             s = score(part["text"], model)
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 

@@ -293,6 +293,30 @@ def test_toxicity_models_are_bounded(spark, monkeypatch):
     assert (model.words.values != model.words.other).sum() <= 10 + 2 * len(model.pairs.keys) < (toxicity.combine(whole).words.values != model.words.other).sum()
 
 
+def test_toxicity_keeps_all_expressions_whatever_the_bound(spark, monkeypatch):
+    """With more expressions than MODEL_ROWS, ratios come from files of at most that many, and scores stay the same."""
+    r = random.Random(8)
+    said = lambda c: " ".join(r.choice([f"{c}{r.randrange(30)}", f"{c} bad", f"x{r.randrange(60)}", "a b"]) for _ in range(r.randint(0, 60)))
+    texts = [said("t" if i % 3 == 0 else "o") for i in range(1500)]
+    table = spark.createDataFrame([*enumerate(texts), (None, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(len(texts))], "doc_id long, toxic int")
+    score = lambda: {x.doc_id: x.score for x in toxicity.toxicity(table, marks).collect()}
+    whole, want = toxicity.combine(toxicity.count(table, marks)), score()
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 7)
+    got = score()
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert len(whole.pairs.keys) > 7 and len(set(want.values())) > 500
+
+    model = toxicity.filed(*toxicity.expressions(table, marks))
+    assert toxicity.ratios(pa.array(texts), model) == pytest.approx(toxicity.ratios(pa.array(texts), whole), abs=1e-12)
+    assert len(model.words.files) > 3 and len(model.pairs.files) > 1
+    keys = np.append(whole.pairs.keys, np.uint64(5))
+    assert model.pairs[keys] == pytest.approx(whole.pairs[keys], abs=1e-12, nan_ok=True)
+    for part in model.words.files + model.pairs.files:
+        fs, name = shared.file_system(part)
+        assert 0 < fs.get_file_info(name).size <= 7 * 16
+
+
 def test_toxicity_ratio_is_normalised_by_length(spark):
     model = toxicity.Model(toxicity.Table(np.zeros(0, np.uint64), np.zeros(0), -0.5), toxicity.Table(np.zeros(0, np.uint64), np.zeros(0), np.nan), toxicity.Curve())
     assert toxicity.ratios(pa.array(["a b", "a " * 1000, "", None, " . "]), model).tolist() == pytest.approx([-0.5, -0.5, 0, 0, 0])
