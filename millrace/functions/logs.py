@@ -6,9 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def one_place(x: Column) -> Column:
+    """A number of at least 1 to one place, by the exact value of the double, ties to even. Spark's format_string rounds the shortest decimal that stands for it instead, and half up.
+
+    The fraction is cut in two, so that ten times each part and their distance from the tie are exact.
+    """
+    x = x.cast("double")
+    fraction = x - F.floor(x)
+    high = F.floor(fraction * (1 << 26)) / (1 << 26)
+    tenth = F.floor(high * 10)
+    past = (high * 10 - tenth - 0.5) + (fraction - high) * 10
+    tenths = F.floor(x) * 10 + tenth + F.when((past > 0) | ((past == 0) & (tenth % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def duration(ms: Column) -> Column:
     """Whole milliseconds below a second, else seconds to one place."""
-    return F.when(ms < 1000, F.format_string("%d ms", F.floor(ms + 0.5))).otherwise(F.format_string("%.1f s", ms / 1000))
+    return F.when(ms < 1000, F.format_string("%d ms", F.floor(ms + 0.5))).otherwise(F.concat(one_place(ms.cast("double") / 1000), F.lit(" s")))
 
 
 def pairs(**values: Column) -> Column:

@@ -119,3 +119,11 @@ def test_structure_splits_at_questions_and_headings(spark):
     assert "\n".join(r.text for r in rows) == text
     arabic = "مقدمة.\nكيف ادفع الفاتورة؟\nمن التطبيق.\nادفع؟"
     assert C.structure(spark.createDataFrame([(1, arabic, "ar")], "doc_id long, text string, language string")).count() == 2
+
+
+def test_durations_round_the_exact_value_as_sql_does(spark):
+    from millrace.functions import logs
+
+    ms = [999, 1000, 1050, 1149, 1150, 1250, 1350, 1750, 1950, 1999, 2250, 2350, 9950, 10050, 12345, 64250, 99950, 1234550, *range(1050, 60000, 350)]
+    found = values(spark, [(x,) for x in ms], "ms long", F.col("ms"), logs.duration(F.col("ms")))
+    assert found == [(x, f"{x} ms" if x < 1000 else f"{x / 1000:.1f} s") for x in ms]
