@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -182,38 +183,100 @@ def merge_best(rows: DataFrame, k: int) -> DataFrame:
     return top(best, k, F.desc("score"), "doc_id").select("query_id", "rank", "doc_id", "score", "passes")
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 2048):
-            part = batch.slice(lo, 2048)
-            known = part.filter(pc.is_valid(part["vec"]))
-            if known.num_rows:
-                values = known["vec"].flatten().to_numpy(zero_copy_only=False).astype("<f8")
-                yield pa.RecordBatch.from_arrays([pa.array([known["id"].to_numpy().astype("<i8").tobytes()]), pa.array([values.tobytes()])], ["ids", "vecs"])
+#: Queries and vectors of a block: few queries with many vectors, as each pair gives k rows of a query.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k vectors with the largest dot product for each query vector; ties by id.
+def _packed(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (id, vec) to blocks of up to `rows` vectors, over the bounds of batches."""
+
+    def block(ids: list[np.ndarray], vecs: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).tobytes()]), pa.array([np.concatenate(vecs).tobytes()])], ["ids", "vecs"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vecs, n = [], [], 0
+        for batch in batches:
+            known, lo = batch.filter(pc.is_valid(batch["vec"])), 0
+            while lo < known.num_rows:
+                part = known.slice(lo, rows - n)
+                ids.append(part["id"].to_numpy().astype("<i8"))
+                vecs.append(part["vec"].flatten().to_numpy(zero_copy_only=False).astype("<f8"))
+                lo, n = lo + part.num_rows, n + part.num_rows
+                if n == rows:
+                    yield block(ids, vecs)
+                    ids, vecs, n = [], [], 0
+        if n:
+            yield block(ids, vecs)
+
+    return pack
+
+
+def vector_blocks(vectors: DataFrame) -> DataFrame:
+    """The vectors (id, vec) packed into blocks, written as a table: what they are made from is found once, not for every pair of blocks. All vectors must have one length."""
+    return shared.written(vectors.mapInArrow(_packed(VECTOR_BLOCK), "ids binary, vecs binary"), "vector-blocks")
+
+
+def _nearest(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places (row, column) of the k largest of each row, and of all that equal the last of them; NaN is the largest, as in SQL."""
+    order = np.where(np.isnan(score), np.inf, score)
+    if order.shape[1] > k:
+        least = np.partition(order, order.shape[1] - k, axis=1)[:, order.shape[1] - k, None]
+        row, column = np.nonzero(order >= least)
+    else:
+        row, column = np.nonzero(np.ones(order.shape, bool))
+    by = np.lexsort((ids[column], -order[row, column], row))
+    row, column = row[by], column[by]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], column[kept]
+
 
-    Both sides (id, vec) are packed into blocks; a block of queries meets a block of vectors in one matrix product, and
-    only k rows of each query leave it. All vectors must have one length.
+def vector_search(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k vectors of vector_blocks with the largest dot product for each of queries (id, vec); ties by id.
+
+    A block of queries meets a block of vectors in matrix products of 64 queries, and only k rows of each query leave it.
+    A worker holds one Arrow batch of pairs, which Spark bounds, and one product.
     """
-    q = queries.mapInArrow(_packed, "ids binary, vecs binary").select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    v = vectors.mapInArrow(_packed, "ids binary, vecs binary")
+    asked = shared.written(queries.mapInArrow(_packed(QUERY_BLOCK), "ids binary, vecs binary"), "query-blocks")
+    pairs = blocks.crossJoin(asked.select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = lambda batch, name, at, kind: np.frombuffer(batch[name][at].as_buffer(), kind)
         for batch in batches:
-            for row in batch.to_pylist():
-                qi, vi = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
-                score = np.round(np.frombuffer(row["q_vecs"], "<f8").reshape(len(qi), -1) @ np.frombuffer(row["vecs"], "<f8").reshape(len(vi), -1).T, 9)
-                order = np.stack([np.lexsort((vi, -s))[:k] for s in score])
-                n = order.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, n)), pa.array(vi[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], ["query_id", "vec_id", "score"])
-
-    found = v.crossJoin(q).mapInArrow(best, "query_id long, vec_id long, score double")
+            for at in range(batch.num_rows):
+                qi, vi = values(batch, "q_ids", at, "<i8"), values(batch, "ids", at, "<i8")
+                q, v = values(batch, "q_vecs", at, "<f8").reshape(len(qi), -1), values(batch, "vecs", at, "<f8").reshape(len(vi), -1).T
+                for lo in range(0, len(qi), 64):
+                    score = np.round(q[lo : lo + 64] @ v, 9)
+                    row, column = _nearest(score, vi, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(qi[lo + row]), pa.array(vi[column]), pa.array(score[row, column])], ["query_id", "vec_id", "score"])
+
+    found = pairs.mapInArrow(best, "query_id long, vec_id long, score double")
     return top(found, k, F.desc("score"), "vec_id").select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """vector_search in blocks of vectors (id, vec) that are packed for it."""
+    return vector_search(vector_blocks(vectors), queries, k)
+
+
+def index_embeddings(index: DataFrame) -> DataFrame:
+    """(id, vec): providers.embed of the texts of an index of stemmed terms, from its terms and counts; each term of a batch is hashed once, and no text is tokenised again."""
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                coded = pc.list_flatten(part["terms"]).dictionary_encode()
+                digit = np.array([int(md5(t.encode()).hexdigest()[0], 16) for t in coded.dictionary.to_pylist()], np.int64)
+                cell = pc.list_parent_indices(part["terms"]).to_numpy().astype(np.int64) * 16 + digit[coded.indices.to_numpy()]
+                counts = np.bincount(cell, pc.list_flatten(part["counts"]).to_numpy(), part.num_rows * 16).astype(float).reshape(-1, 16)  # integers where nothing is counted
+                size = np.sqrt((counts * counts).sum(1, keepdims=True))
+                unit = np.divide(counts, size, out=counts, where=size > 0)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * 16), pa.array(unit.ravel()))], ["id", "vec"])
+
+    return index.where("doc_id is not null").select("doc_id", "terms", "counts").mapInArrow(embed, "id long, vec array<double>")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of one length; 0 where either has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -256,3 +256,27 @@ def test_next_rows_across_blocks(spark):
     rows = [(g, k * 3, f"{g}{k}") for g in ("x", None) for k in range(50)]
     got = {(r.g, r.k): r.nxt for r in E.with_next(spark.createDataFrame(rows, "g string, k long, v string"), "g", "k", {"nxt": "v"}, block=10).collect()}
     assert got == {(g, k * 3): f"{g}{k + 1}" if k < 49 else None for g in ("x", None) for k in range(50)}
+
+
+def test_vector_search_over_blocks_keeps_ties_and_all_ids(spark, monkeypatch):
+    from millrace.operators import retrieval as R
+
+    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(R, "VECTOR_BLOCK", 5)
+    vecs = {i: [float(i % 4), float(i % 3)] for i in range(23)} | {23: [float("nan"), 0.0]}
+    rows = spark.createDataFrame([*vecs.items(), (99, None)], "id long, vec array<double>").repartition(2)
+    assert [len(r["ids"]) // 8 for r in R.vector_blocks(rows.coalesce(1)).collect()] == [5, 5, 5, 5, 4]
+    asked = rows.where("id < 7")
+    found = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in R.vector_top(rows, asked, 4).collect())
+    dot = lambda a, b: float("inf") if b[0] != b[0] else sum(x * y for x, y in zip(a, b))
+    want = [(q, n + 1, i) for q in range(7) for n, i in enumerate(sorted(vecs, key=lambda i: (-dot(vecs[q], vecs[i]), i))[:4])]
+    assert found == want
+
+
+def test_embeddings_of_an_index_are_those_of_the_texts(spark):
+    from millrace.functions import providers as P
+    from millrace.operators import retrieval as R
+
+    docs = spark.createDataFrame([(1, "one two two three *12#"), (2, ""), (3, None), (4, "خدمات الخدمة 7 seven")], "doc_id long, text string")
+    want = {r["doc_id"]: list(r["embedding"]) for r in P.embed(docs).collect()}
+    assert {r["id"]: list(r["vec"]) for r in R.index_embeddings(R.build_index(docs)).collect()} == want
