@@ -209,8 +209,9 @@ def verdict_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole path from passages as questions to prompts and response bodies. Some are blank, vague or in the cache; vectors are hashed ones. Tests follow it by hand."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    index, vectors = R.build_index(docs), P.embed(docs).select(F.col("doc_id").alias("id"), F.col("embedding").alias("vec"))
-    near = lambda q, k: R.vector_top(vectors, P.embed(q).select(F.col("query_id").alias("id"), F.col("embedding").alias("vec")), k).withColumnRenamed("vec_id", "doc_id")
+    index = R.build_index(docs)
+    blocks = R.vector_blocks(R.index_embeddings(index))
+    near = lambda q, k: R.vector_search(blocks, P.embed(q).select(F.col("query_id").alias("id"), F.col("embedding").alias("vec")), k).withColumnRenamed("vec_id", "doc_id")
     bench, i, null = table(spark, sf_dir, "benchmark"), F.col("item_id"), lambda t: F.lit(None).cast(t)
     asked = bench.select(i.alias("query_id"), F.when(i % 11 == 0, " ").when(i % 11 == 1, "??").otherwise(F.col("text")).alias("question"), null("string").alias("language"), null("int").alias("top_k"), null("string").alias("mode"), null("string").alias("embedding_backend"))
     asked = P.embed(asked.withColumn("said", F.coalesce("question", F.lit(""))), "said").withColumnRenamed("embedding", "vec").drop("said")
