@@ -18,12 +18,17 @@ from ..sources import shared
 K1, B, RRF_K = 1.5, 0.75, 60
 #: Terms of all queries together that go to every worker.
 MOST_ASKED = 200_000
+#: Cells (document, query) that a worker scores at a time, and tokens that it counts: a posting is repeated for every query that asks for its term.
+CELLS, TOKENS = 1 << 17, 1 << 18
 
 
 def _posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 2048):
-            part = batch.slice(lo, 2048)
+        sizes = np.cumsum(pc.fill_null(pc.list_value_length(batch["tokens"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + TOKENS, "right")))
+            part, lo = batch.slice(lo, hi - lo), hi
             tokens = part["tokens"]
             size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int32)
             coded = pc.list_flatten(tokens).dictionary_encode()
@@ -95,7 +100,7 @@ def _scores(index: DataFrame, asked: pd.DataFrame, k: int, part: Callable[[np.nd
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, best = pa.array(terms.tolist(), pa.string()), _Best(len(ids), k)
-        rows_each = max(1, (1 << 20) // max(1, len(ids)))
+        rows_each = max(1, CELLS // max(1, len(ids)))
         for batch in batches:
             for lo in range(0, batch.num_rows, rows_each):
                 rows = batch.slice(lo, rows_each)

@@ -280,3 +280,15 @@ def test_embeddings_of_an_index_are_those_of_the_texts(spark):
     docs = spark.createDataFrame([(1, "one two two three *12#"), (2, ""), (3, None), (4, "خدمات الخدمة 7 seven")], "doc_id long, text string")
     want = {r["doc_id"]: list(r["embedding"]) for r in P.embed(docs).collect()}
     assert {r["id"]: list(r["vec"]) for r in R.index_embeddings(R.build_index(docs)).collect()} == want
+
+
+def test_index_and_scores_work_in_bounded_slices(spark, monkeypatch):
+    from millrace.operators import retrieval as R
+
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 5} " * (i % 7)) for i in range(60)], "doc_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(q, f"alpha beta{q}") for q in range(5)], "query_id long, text string")
+    plain = [tuple(r) for r in R.bm25(docs, asked, 4).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(R, "TOKENS", 9)
+    monkeypatch.setattr(R, "CELLS", 10)
+    assert [tuple(r) for r in R.bm25(docs, asked, 4).orderBy("query_id", "rank").collect()] == plain
+    assert len(plain) == 20
