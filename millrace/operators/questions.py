@@ -101,39 +101,48 @@ def _words(x: Column) -> Column:
 
 
 def split_heading(line: Column) -> Column:
-    """One line, or a heading and the content that was merged to it."""
-    out = F.array(line)
+    """One line, or a heading and the content that was merged to it. Patterns of single beginnings run only where a line holds one."""
     head, rest = F.regexp_extract(line, GENERAL_HEADING, 1), F.regexp_extract(line, GENERAL_HEADING, 2)
-    head = T.strip(head)
-    out = F.when((head != "") & (F.size(_words(head)) <= 6) & ~head.rlike("[.?!:,;]$"), F.array(head, T.strip(rest))).otherwise(out)
+    general = T.once(T.strip(head), lambda h: F.when((h != "") & (F.size(_words(h)) <= 6) & ~h.rlike("[.?!:,;]$"), F.array(h, T.strip(rest))).otherwise(F.array(line)))
+    out = general
     for start in reversed(CONTENT_STARTS):
         pattern = rf"(?i)^(.{{3,60}}?)\s+({start}\b.+)$"
         head, rest = T.strip(F.regexp_extract(line, pattern, 1)), T.strip(F.regexp_extract(line, pattern, 2))
         out = F.when((head != "") & (F.size(_words(head)) <= 8) & (F.size(_words(rest)) >= 3), F.array(head, rest)).otherwise(out)
-    return out
+    return F.when(line.rlike("(?i)" + "|".join(CONTENT_STARTS)), out).otherwise(general)
 
 
-def continues(before: Column, line: Column) -> Column:
-    """Whether a line goes on with the one before it, which may be merged already."""
-    words, first = _words(before), F.lower(_words(line)[0])
-    ends_open = before.rlike("[,;–-]$")
-    short = (F.size(words) <= 8) & (F.length(before) <= 60) & ~ends_open & ~F.lower(F.element_at(words, -1)).isin(*DANGLING)
-    stop = (before == "") | (line == "") | line.rlike("^(?:[•◦▪▫●○■□]|- )") | before.rlike("^(?:[•◦▪▫●○■□]|- )") | line.rlike(CODE) | before.rlike(CODE) | line.rlike("https?://") | before.rlike("https?://") | before.rlike("[.?!:]$") | short
-    return ~stop & (ends_open | line.rlike(r"^\p{Ll}") | first.isin(*CONTINUING))
+def _marks(line: Column) -> Column:
+    """What merging asks of a line: found once for each, however long the lines get that it is merged into."""
+    return T.once(_words(line), lambda words: F.struct(
+        line.alias("line"), ((line == "") | line.rlike("^(?:[•◦▪▫●○■□]|- )") | line.rlike(CODE) | line.rlike("https?://")).alias("lone"), F.size(words).alias("n"),
+        line.rlike("[.?!:]$").alias("closed"), line.rlike("[,;–-]$").alias("open"), F.lower(F.get(words, F.size(words) - 1)).isin(*DANGLING).alias("dangling"),
+        (line.rlike(r"^\p{Ll}") | F.lower(F.get(words, F.lit(0))).isin(*CONTINUING)).alias("goes"),
+    ))
 
 
-def merge_wrapped(lines: Column) -> Column:
-    """Lines of an array, wrapped ones put together: a fold, as what a line goes on with is what was merged so far."""
+def _continues(before: Column, line: Column) -> Column:
+    """Whether a line goes on with the one before it, which may be merged already: a merged line holds no bullet, code or link, and ends as its last part."""
+    short = (before["n"] <= 8) & (F.length(before["line"]) <= 60) & ~before["open"] & ~before["dangling"]
+    return ~(before["lone"] | line["lone"] | before["closed"] | short) & (before["open"] | line["goes"])
 
-    def step(acc: Column, line: Column) -> Column:
-        on = F.coalesce(continues(acc["last"], line), F.lit(False))
-        return F.struct(
-            F.when(acc["empty"] | on, acc["done"]).otherwise(F.array_append(acc["done"], acc["last"])).alias("done"),
-            F.when(on & ~acc["empty"], F.concat(F.rtrim(acc["last"]), F.lit(" "), F.ltrim(line))).otherwise(line).alias("last"), F.lit(False).alias("empty"),
-        )
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("last"), F.lit(True).alias("empty"))
-    return F.aggregate(lines, start, step, lambda a: F.when(a["empty"], a["done"]).otherwise(F.array_append(a["done"], a["last"])))
+def merge_wrapped(lines: Column) -> Column:
+    """Lines of an array, wrapped ones put together: a fold, as what a line goes on with is what was merged so far."""
+    kept = ("n", "closed", "open", "dangling")
+
+    def step(acc: Column, x: Column) -> Column:
+        before = acc["last"]
+        both = F.struct(F.concat(F.rtrim(before["line"]), F.lit(" "), F.ltrim(x["line"])).alias("line"), F.lit(False).alias("lone"), (before["n"] + x["n"]).alias("n"), x["closed"].alias("closed"), x["open"].alias("open"), F.when(x["n"] > 0, x["dangling"]).otherwise(before["dangling"]).alias("dangling"))
+        alone = F.struct(x["line"].alias("line"), x["lone"].alias("lone"), *[x[c].alias(c) for c in kept])
+        done = F.when(acc["empty"], acc["done"]).otherwise(F.array_append(acc["done"], before["line"]))
+        on = ~acc["empty"] & F.coalesce(_continues(before, x), F.lit(False))
+        return F.when(on, F.struct(acc["done"].alias("done"), both.alias("last"), F.lit(False).alias("empty"))).otherwise(F.struct(done.alias("done"), alone.alias("last"), F.lit(False).alias("empty")))
+
+    none = lambda kind: F.lit(None).cast(kind)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.struct(none("string").alias("line"), none("boolean").alias("lone"), none("int").alias("n"), *[none("boolean").alias(c) for c in kept[1:]]).alias("last"), F.lit(True).alias("empty"))
+    whole = lambda xs: F.aggregate(xs, start, step, lambda a: F.when(a["empty"], a["done"]).otherwise(F.array_append(a["done"], a["last"]["line"])))
+    return T.once(F.transform(lines, _marks), whole)
 
 
 def page_texts(rows: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:

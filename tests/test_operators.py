@@ -292,3 +292,11 @@ def test_index_and_scores_work_in_bounded_slices(spark, monkeypatch):
     monkeypatch.setattr(R, "CELLS", 10)
     assert [tuple(r) for r in R.bm25(docs, asked, 4).orderBy("query_id", "rank").collect()] == plain
     assert len(plain) == 20
+
+
+def test_a_blank_line_among_wrapped_ones_is_no_error(spark):
+    from millrace.operators import questions as Q
+
+    lines = ["one two three four five six seven eight nine", "   ", "and more", "[see", "it goes on,", "  ", "till here"]
+    found = spark.createDataFrame([(lines,)], "l array<string>").select(Q.merge_wrapped(F.col("l")).alias("m")).first()["m"]
+    assert found == ["one two three four five six seven eight nine", "   ", "and more", "[see", "it goes on, ", "till here"]
