@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import shared
+from .lines import settled
 
 K1, B, RRF_K = 1.5, 0.75, 60
 #: Terms of all queries together that go to every worker.
@@ -45,6 +46,12 @@ def build_index(docs: DataFrame, stemmed: bool = True) -> DataFrame:
     return shared.written(tokens.mapInArrow(_posting_lists, "doc_id long, size int, terms array<string>, counts array<int>"), "keyword-index")
 
 
+def build_terms(docs: DataFrame, stemmed: bool = True) -> DataFrame:
+    """doc_id, size and distinct terms of an index, for what needs no counts: written as a table without a Python worker."""
+    rows = settled(docs.select("doc_id", T.tokens(F.col("text"), stemmed).alias("tokens")), "tokens")
+    return shared.written(rows.select("doc_id", F.size("tokens").alias("size"), F.array_distinct("tokens").alias("terms")), "terms")
+
+
 def corpus_stats(index: DataFrame) -> DataFrame:
     """One row: n_docs and avg_len; documents without terms count."""
     return index.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("size"), F.lit(0.0)).alias("avg_len"))
